@@ -53,3 +53,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 def words_in(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; an expression within a lambda is not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
