@@ -1 +1,5 @@
 """DuckDB SQL for the queries that SQL can express, by query name."""
+
+from lodestone.llm import licenses
+
+op4_scan_licenses = licenses.duckdb_sql()

@@ -16,6 +16,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "good", "kept"
+    )
+
+
 def op3_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secrets import scan, spelled
 
@@ -31,6 +39,21 @@ def op3_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.wordpiece import count_tokens, read_ranks
+
+    vocabulary = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
