@@ -45,6 +45,12 @@ def op4_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents"), words=4)
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
