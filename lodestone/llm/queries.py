@@ -45,6 +45,12 @@ def op4_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.epsilon_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.neardup import classes
 
