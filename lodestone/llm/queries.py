@@ -57,6 +57,16 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), words=4)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.bytebpe import digests, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
