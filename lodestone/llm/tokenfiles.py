@@ -36,7 +36,7 @@ from lodestone.llm.common import cut, fresh_path
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Encoded chunks a worker remembers before it starts anew: bounds its memory.
-REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
+REMEMBERED, REMEMBERED_CHARS = 3 << 18, 64
 #: Code points of white space as the splitting pattern has it, but for space and line feed.  Fixed values.
 _ODD = (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
@@ -44,46 +44,69 @@ _ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
 
+#: The splitting pattern of byte-level tokenizers.  Fixed value.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(spare)) for b in range(256)}
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer of the ``tokenizers`` library, as packed little-endian bytes.
 
     A byte-level splitting pattern never joins a character to white space after it.  So a text is cut
-    before each run of white space, and each distinct chunk goes through the library once.
+    before each run of white space, and each distinct chunk is split and each distinct piece of it goes through
+    the library's model once.  Letters beyond the Latin blocks are split by the library itself.
     """
 
     def __init__(self, tokenizer_json: str):
+        import regex
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_str(tokenizer_json)
-        self.split, self.model = whole.pre_tokenizer.pre_tokenize_str, whole.model
+        self.library_split, self.merge = whole.pre_tokenizer.pre_tokenize_str, whole.model.tokenize
+        self.find, self.letters = regex.compile(_PATTERN).findall, byte_letters()
         self.width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.parts: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def chunk(self, text: str) -> bytes:
-        out = b"".join(
-            t.id.to_bytes(self.width, "little") for piece, _ in self.split(text) for t in self.model.tokenize(piece)
-        )
-        return out
+    def piece(self, spelled: str) -> bytes:
+        return b"".join(t.id.to_bytes(self.width, "little") for t in self.merge(spelled))
 
-    def _known(self, known: dict[str, bytes], keys: list[str], lead: bool) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, keys))
-        except KeyError:
-            pass
+    def chunk(self, text: str) -> bytes:
+        if max(text) >= "\u0250":
+            return b"".join(self.piece(piece) for piece, _ in self.library_split(text))
         out = []
-        for k in keys:
-            ids = known.get(k)
+        for raw in self.find(text):
+            ids = self.pieces.get(raw)
             if ids is None:
-                ids = self.chunk(" " + k if lead and k[:1] != "\n" else k)
-                if len(k) <= REMEMBERED_CHARS:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[k] = ids
+                ids = self.piece(raw.encode().decode("latin-1").translate(self.letters))
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                if len(raw) <= REMEMBERED_CHARS:
+                    self.pieces[raw] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _known(self, known: dict[str, bytes], keys: list[str], lead: bool) -> bytes:
+        found = list(map(known.get, keys))
+        k = -1
+        for _ in range(found.count(None)):
+            k = found.index(None, k + 1)
+            key = keys[k]
+            found[k] = ids = self.chunk(" " + key if lead and key[:1] != "\n" else key)
+            if len(key) <= REMEMBERED_CHARS:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = ids
+        return b"".join(found)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
