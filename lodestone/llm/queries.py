@@ -87,6 +87,12 @@ def op9_write_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op10_score_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixer import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
