@@ -219,8 +219,10 @@ def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> D
         pairs = member.join(centre, "bucket").filter((F.col("nth_u") > F.col("nth_v")) & like)
         if first > 1:
             pairs = pairs.filter("c_u <> c_v")
-        links = cut(links.union(confirmed(pairs.select("u", "v").distinct(), sets, percent)), "confirmed")
+        # with the stars found so far in place of the links that made them
+        links = links.union(confirmed(pairs.select("u", "v").distinct(), sets, percent))
         reached = cut(connected_components(links), "components")
+        links = reached.select(F.col("node").alias("u"), F.col("component").alias("v"))
         beyond = (
             shared.filter(F.col("nth") > last)
             .join(reached, "node", "left")
