@@ -327,10 +327,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, size: int = DICTIONARY
     return done.select(*(F.col(k).alias(c) for k, c in own.items()), "ids")
 
 
-def digests(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 from the ids: decoding concatenates their pieces."""
+def digests(encoded: DataFrame, rank_file: str, *passed: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 from the ids: decoding concatenates their pieces.
+
+    Of the other columns those named in ``passed`` stay.
+    """
     import pyarrow as pa
 
+    kept = ["doc_id", *passed]
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,14 +354,18 @@ def digests(encoded: DataFrame, rank_file: str) -> DataFrame:
                 ids_hash.append(sha256(b" ".join(map(spelled.__getitem__, ids))).hexdigest())
                 text_hash.append(sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [
+                    *(batch.column(c) for c in kept),
+                    pa.array(counts, pa.int64()),
+                    pa.array(ids_hash, pa.string()),
+                    pa.array(text_hash, pa.string()),
+                ],
+                names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    rows = encoded.select(*kept, *(["ids"] if "ids" not in kept else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:

@@ -254,7 +254,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one of least doc_id, with its columns; of repeated rows one stays."""
-    kept = classes(docs, words, percent).filter("kept").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
+    kept = classes(docs, words, percent).filter("kept").select(key).distinct()
+    # dealt by the key once, for the row number and for the join
+    once = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
+    rows = docs.select(*docs.columns, key).withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
+    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
