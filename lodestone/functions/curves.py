@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,7 +180,6 @@ def hilbert_decode_array(key: np.ndarray, bits: tuple[int, int, int]) -> np.ndar
 
 def hilbert_decode(key: Column, bits: tuple[int, int, int]) -> Column:
     """Cells of a key as an array of three numbers."""
-    import pandas as pd
 
     @F.pandas_udf("array<long>")
     def decode(keys: pd.Series) -> pd.Series:

@@ -2,11 +2,13 @@
 
 Rows are range-partitioned and sorted; ``monotonically_increasing_id`` then holds the partition and the
 row's place in it.  The driver learns one count for each partition and adds the rows before it: one
-shuffle, and no task sees more than its range.
+shuffle, and no task sees more than its range.  The placed rows are kept on disk, since another run of
+the same plan may sample other bounds; a lost part is made anew with the bounds it had.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> Data
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
+        .persist(StorageLevel.DISK_ONLY)
     )
     part = F.shiftright("_at", _PLACE_BITS)
     counts = placed.groupBy(part.alias("part")).count().collect()  # a row for each partition

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def register(spark: SparkSession) -> None:
     """Temporary SQL functions; the Hilbert one is an Arrow UDF over the table-driven encoder."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     from lodestone.functions import curves
 
     spark.sql(

@@ -121,8 +121,8 @@ def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     home = p.select("*", *(at(c).alias(f"c{c}") for c in ("x", "y", "z")))
     steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
     around = home
-    for c in ("x", "y", "z"):
-        around = around.withColumn(f"c{c}", F.explode(F.transform(steps, lambda s, c=c: F.col(f"c{c}") + s)))
+    for c in ("cx", "cy", "cz"):
+        around = around.withColumn("_step", F.explode(steps)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
     near = ranked(
         around.alias("a").join(home.alias("b"), [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in ("x", "y", "z")])
     )
