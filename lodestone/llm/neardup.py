@@ -4,11 +4,14 @@
    bin keeps its least; an empty bin copies the first non-empty one in a random order of its own, the same
    for all documents.
 2. Documents with equal sets become one node.  Nodes that agree in all rows of a band share a bucket.
-3. In each bucket the node of least hash is the centre and the others are compared with it: a bucket of n
-   gives n - 1 candidates.  Candidates are confirmed on the full sets.
+3. In each bucket the node that shares buckets with most others is the centre (the text that a group was copied
+   from agrees with its copies more often than they do with each other), and the others are compared with
+   it: a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full sets.
 4. Components are formed.  A bucket whose nodes beyond its centres still lie in several components may hide
    a link, so further centres follow there (1, then 8, 64, ... of them), only across components, until each
-   pair in a bucket is compared or known to be in one component.  No bucket is capped.
+   pair in a bucket is compared, known to be in one component, or known to be no link: one minus the
+   similarity is a distance, so two nodes whose distances to the first centre differ by more than the
+   greatest distance of a link cannot be linked.  No bucket is capped.
 
 Shingles are 64-bit hashes and a set's name is a 128-bit hash of them.  With 32 bands of 6 rows a pair of
 similarity 0.8 shares no bucket with probability 6e-5, one of 0.85 with 1e-6.
@@ -165,24 +168,29 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes with 100 |A & B| >= percent |A or B| on their full sets."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes with their distance on the full sets, and whether 100 |A & B| >= percent |A or B|."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            keep = []
+            linked, apart = [], []
             for a, b in zip(batch.column("a"), batch.column("b")):
                 a = np.frombuffer(a.as_buffer(), np.uint64)
                 b = np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+                apart.append(1 - both / (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("v"), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())],
+                names=["u", "v", "apart", "linked"],
+            )
 
     with_a = pairs.join(sets.toDF("u", "a"), "u")
-    return with_a.join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    both = with_a.join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u binary, v binary, apart double, linked boolean")
 
 
 def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
@@ -193,38 +201,51 @@ def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> D
         .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
     )
     in_bucket = Window.partitionBy("bucket")
-    shared = cut(
+    met = cut(
         nodes.select("node", "rep", "n", F.explode("buckets").alias("bucket"))
         .withColumn("size", F.count("*").over(in_bucket))
-        .withColumn("nth", F.row_number().over(in_bucket.orderBy(F.xxhash64("node"), "node")))
-        .filter("size > 1")
-        .drop("size"),
+        .filter("size > 1"),
         "buckets",
     )
+    mates = met.groupBy("node").agg(F.sum("size").alias("mates"))
+    foremost = in_bucket.orderBy(F.desc("mates"), F.xxhash64("node"), "node")
+    shared = cut(
+        met.join(mates, "node").select("node", "rep", "n", "bucket", F.row_number().over(foremost).alias("nth")),
+        "ranked-buckets",
+    )
     chosen = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = full_sets(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), words)
     sets = cut(sets.dropDuplicates(["node"]), "sets")
     # texts of one doc_id belong together, whatever they say
     by_id = found.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top"))
     links = found.join(by_id.filter("v <> top"), "doc_id").filter("node <> v").select(F.col("node").alias("u"), "v")
-    left, first, last = shared, 1, 1
+    left, first, last, greatest = shared, 1, 1, 1 - percent / 100 + 1e-9
     while True:
-        member = left.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("nth").alias("nth_u"), "bucket",
-                             *([F.col("component").alias("c_u")] if first > 1 else []))
-        centre = left.filter(F.col("nth").between(first, last)).select(
-            F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("nth").alias("nth_v"), "bucket",
-            *([F.col("component").alias("c_v")] if first > 1 else []))
+        seen = ["component", "apart"] if first > 1 else []
+        side = lambda t: left.select(  # noqa: E731, B023
+            "bucket", *(F.col(c).alias(f"{c}_{t}") for c in ["n", "nth", *seen]), F.col("node").alias(t)  # noqa: B023
+        )
         # a set much smaller than the other cannot be similar enough
         like = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-        pairs = member.join(centre, "bucket").filter((F.col("nth_u") > F.col("nth_v")) & like)
+        pairs = side("u").join(side("v").filter(F.col("nth_v").between(first, last)), "bucket")
+        pairs = pairs.filter((F.col("nth_u") > F.col("nth_v")) & like)
         if first > 1:
-            pairs = pairs.filter("c_u <> c_v")
+            near = F.coalesce(F.abs(F.col("apart_u") - F.col("apart_v")) <= greatest, F.lit(True))
+            pairs = pairs.filter((F.col("component_u") != F.col("component_v")) & near)
+        tested = cut(compared(pairs.select("u", "v").distinct(), sets, percent), "compared")
         # with the stars found so far in place of the links that made them
-        links = links.union(confirmed(pairs.select("u", "v").distinct(), sets, percent))
-        reached = cut(connected_components(links), "components")
+        reached = cut(connected_components(links.union(tested.filter("linked").select("u", "v"))), "components")
         links = reached.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        if first == 1:
+            centre = shared.filter("nth = 1").select("bucket", F.col("node").alias("v"))
+            known = tested.select(F.col("u").alias("node"), "v", "apart")
+            left = cut(
+                shared.filter("nth > 1").join(centre, "bucket").join(known, ["node", "v"], "left").drop("v"),
+                "centre-distances",
+            )
         beyond = (
-            shared.filter(F.col("nth") > last)
+            left.drop("component")
+            .filter(F.col("nth") > last)
             .join(reached, "node", "left")
             .withColumn("component", F.coalesce("component", "node"))
         )
