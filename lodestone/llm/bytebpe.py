@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,9 @@ from lodestone.llm.common import cut, let
 from lodestone.llm.wordpiece import read_ranks
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
-DICTIONARY, LONGEST = 1 << 20, 64
+DICTIONARY, LONGEST = 3 << 18, 64
 #: Pieces counted before a worker hands on its counts; chunks a worker remembers.
-COUNTED, REMEMBERED = 1 << 18, 1 << 18
+COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Code points of white space but for space and line feed.  Fixed values.
 _ODD = (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
@@ -260,25 +261,29 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, size: int = DICTIONARY
         known: dict[str, bytes] = {}  # whole chunks
 
         def one(text: str):
-            found, places, which, rare, at = [], [], [], {}, 0
-            for chunk, ids in zip(parts := chunks(text), map(known.get, parts)):
-                if ids is None:
-                    ids = b""
-                    lacks = False
-                    for piece in split(chunk):
-                        got = pieces.get(piece)
-                        if got is None:
-                            lacks = True
-                            places.append(at + len(ids) // 2)
-                            which.append(rare.setdefault(piece, len(rare)))
-                        else:
-                            ids += got
-                    if not lacks and len(chunk) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = ids
-                found.append(ids)
-                at += len(ids) // 2
+            parts = chunks(text)
+            found = list(map(known.get, parts))
+            holes, which, rare, k = [], [], {}, -1
+            for _ in range(found.count(None)):
+                k = found.index(None, k + 1)
+                chunk, ids, whole = parts[k], b"", True
+                for piece in split(chunk):
+                    got = pieces.get(piece)
+                    if got is None:
+                        whole = False
+                        holes.append((k, len(ids)))
+                        which.append(rare.setdefault(piece, len(rare)))
+                    else:
+                        ids += got
+                found[k] = ids
+                if whole and len(chunk) <= LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[chunk] = ids
+            places = []
+            if holes:
+                ends = list(accumulate(map(len, found)))
+                places = [(ends[k] - len(found[k]) + at) // 2 for k, at in holes]
             return b"".join(found), places, which, [p.encode("utf-8", "surrogatepass") for p in rare]
 
         for batch in batches:
