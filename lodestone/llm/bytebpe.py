@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, let
-from lodestone.llm.wordpiece import read_ranks
+from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
-DICTIONARY, LONGEST = 3 << 18, 64
+DICTIONARY, LONGEST = 1 << 19, 64
 #: Pieces counted before a worker hands on its counts; chunks a worker remembers.
 COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Code points of white space but for space and line feed.  Fixed values.
@@ -162,37 +162,43 @@ def _fold(word: Column, ranks: RankMap, table: Column, first: Column) -> Column:
 
 
 def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
-    """(piece, n) over all documents: counted by workers, then summed."""
+    """(piece, n) over all documents: chunks are counted by workers and summed, then each is split once."""
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        import regex
+    def counted(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["piece", "n"]
+        )
 
-        split = regex.compile(pattern).findall
-        found: Counter = Counter()  # of chunks
-
-        def handed_on() -> pa.RecordBatch:
-            pieces: Counter = Counter()
-            for chunk, n in found.items():
-                for piece in split(chunk):
-                    pieces[piece] += n
-            found.clear()
-            words = [p.encode("utf-8", "surrogatepass") for p in pieces]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"]
-            )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
 
+        found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text"):
                 found.update(chunks(text.as_py() or ""))
                 if len(found) >= COUNTED:
-                    yield handed_on()
-        yield handed_on()
+                    yield counted(found)
+                    found.clear()
+        yield counted(found)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import defaultdict
+
+        import regex
+
+        split = regex.compile(pattern).findall
+        for batch in batches:
+            found: defaultdict = defaultdict(int)
+            for chunk, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist()):
+                for piece in split_chunk(chunk, split):
+                    found[piece] += n
+            yield counted(found)
 
-    counts = docs.select("text").mapInArrow(run, "piece binary, n long")
-    return counts.groupBy("piece").agg(F.sum("n").alias("n"))
+    schema = "piece string, n long"
+    by_chunk = docs.select("text").mapInArrow(count, schema).groupBy("piece").agg(F.sum("n").alias("n"))
+    by_piece = by_chunk.mapInArrow(pieces, schema).groupBy("piece").agg(F.sum("n").alias("n"))
+    return by_piece.select(F.col("piece").cast("binary").alias("piece"), "n")
 
 
 def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, size: int = DICTIONARY):
@@ -267,7 +273,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, size: int = DICTIONARY
             for _ in range(found.count(None)):
                 k = found.index(None, k + 1)
                 chunk, ids, whole = parts[k], b"", True
-                for piece in split(chunk):
+                for piece in split_chunk(chunk, split):
                     got = pieces.get(piece)
                     if got is None:
                         whole = False

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, fresh_path
+from lodestone.llm.wordpiece import split_chunk
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Encoded chunks a worker remembers before it starts anew: bounds its memory.
@@ -83,7 +84,7 @@ class Encoder:
         if max(text) >= "\u0250":
             return b"".join(self.piece(piece) for piece, _ in self.library_split(text))
         out = []
-        for raw in self.find(text):
+        for raw in split_chunk(text, self.find):
             ids = self.pieces.get(raw)
             if ids is None:
                 ids = self.piece(raw.encode().decode("latin-1").translate(self.letters))

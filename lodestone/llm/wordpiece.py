@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 
 #: Words remembered by a worker, then forgotten and started anew: bounds its memory.
 REMEMBERED = 1 << 18
+#: Marks that stand alone after a word.
+_MARKS = frozenset(".,;:!?")
 #: Longer words are not remembered.
 REMEMBERED_BYTES = 64
 
@@ -90,6 +92,20 @@ class Automaton:
         return n
 
 
+def split_chunk(chunk: str, find) -> tuple | list:
+    """Pieces of a run of white space and the text after it, as the splitting pattern ``find`` has them.
+
+    Words, and words with one mark after them, are told without the pattern.
+    """
+    first = chunk[0]
+    body = chunk[1:] if first == " " or first == "\n" else chunk
+    if body.isalpha():
+        return ("\n", body) if first == "\n" else (chunk,)
+    if first != "\n" and body[-1:] in _MARKS and body[:-1].isalpha():
+        return chunk[:-1], chunk[-1]
+    return find(chunk)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Pieces and ranks of a rank file: base64 piece, space, rank on each line."""
     with open(path, "rb") as f:
