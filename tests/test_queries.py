@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import lodestone.plans.validation  # noqa: F401
 from lodestone.plans.analysis import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
