@@ -37,7 +37,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes a context looks back, by predictor; slots of a table; blocks a table is sent in.
 LOOKS, SLOTS, BLOCKS = (1, 3, 5), 1 << 19, 32
 #: Bytes of a segment; bytes worked on at once; words counted before a worker hands on its counts.
-SEGMENT, AT_ONCE, COUNTED = 1024, 1_200_000, 1 << 18
+SEGMENT, AT_ONCE, COUNTED = 512, 1_200_000, 1 << 18
 #: Words whose counts are broadcast, and the longest of them in bytes.
 COMMON, LONGEST = 1 << 19, 64
 #: Step of the weights and where they start, by predictor and for the constant.
@@ -296,8 +296,9 @@ def text_bits(code: Code, odds, gate, texts: list[bytes]):
         wrong = y[part] - 1 / (1 + np.exp(-total))
         w += (wrong * np.float32(RATE))[:, None] * now
         weights[rows] = w
-    cost = np.logaddexp(0, np.where(y > 0, -z, z).astype(np.float64)) / math.log(2)
-    by_lane = np.bincount(lane, cost, minlength=len(lanes))
+    z *= 1 - 2 * y  # the log odds against what came
+    cost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))  # ln(1 + e^z) in single precision, added up in double
+    by_lane = np.bincount(lane, cost, minlength=len(lanes)) / math.log(2)
     return np.bincount(found.segment_text[lanes], by_lane, minlength=len(texts))
 
 
