@@ -165,15 +165,15 @@ class Decisions:
                 h ^= h >> np.uint32(15)
             self.hashes.append(h)
 
-    def slots(self, which: int, order=None):
-        """Places of the decisions in a table; ``order`` picks and arranges them."""
+    def slots(self, which: int, node=None, symbol=None):
+        """Places in a table of all decisions, or of those with the nodes and symbols given."""
         import numpy as np
 
-        node = self.node if order is None else self.node[order]
+        node = self.node if node is None else node
         if which == 0:
             return node  # the byte before and the node: no hash needed
-        symbol = self.symbol if order is None else self.symbol[order]
-        h = (self.hashes[which - 1][symbol] ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
+        h = self.hashes[which - 1][self.symbol if symbol is None else symbol]
+        h = (h ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
         return h >> np.uint32(32 - (SLOTS.bit_length() - 1))
 
 
@@ -278,8 +278,9 @@ def text_bits(code: Code, odds, gate, texts: list[bytes]):
         order[part] = starts[: running[t]] + t
         lane[part] = np.arange(running[t])
     x = np.empty((len(order), len(LOOKS) + 1), np.float32)
+    node, symbol = found.node[order], found.symbol[order]
     for k in range(len(LOOKS)):
-        slots = found.slots(k, order)
+        slots = found.slots(k, node, symbol)
         x[:, k] = odds[k * SLOTS : (k + 1) * SLOTS][slots]
         if k == len(LOOKS) - 1:
             row = lane * np.int32(len(GATES) + 1) + gate[slots]
@@ -297,7 +298,7 @@ def text_bits(code: Code, odds, gate, texts: list[bytes]):
         w += (wrong * np.float32(RATE))[:, None] * now
         weights[rows] = w
     z *= 1 - 2 * y  # the log odds against what came
-    cost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))  # ln(1 + e^z) in single precision, added up in double
+    cost = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))  # ln(1 + e^z) in single precision, added up in double
     by_lane = np.bincount(lane, cost, minlength=len(lanes)) / math.log(2)
     return np.bincount(found.segment_text[lanes], by_lane, minlength=len(texts))
 
