@@ -21,7 +21,9 @@ Defined results
 * fewer words than a shingle has: the whole sequence is the one shingle; no words or a null text: an empty set,
   linked with nothing; very long texts are taken whole;
 * repeated rows: each gets a row, equal doc_ids are one document, and texts of one doc_id are linked;
-* a null doc_id reaches the least id of its component, or null; an empty table gives no rows;
+* rows with a null doc_id are documents of their own, named by their texts (equal texts are repeated rows); they reach
+  the least id of their component, or null if it has none, and then the one of least name is kept;
+* an empty table gives no rows;
 * other columns are not read, and :func:`deduplicate` passes them on.
 """
 
@@ -29,10 +31,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import WORD, cut
 from lodestone.llm.components import connected_components
 
 #: Bands and rows of a signature; words in a shingle; least similarity in percent.
@@ -118,8 +120,14 @@ def _name(hashes) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def text_name() -> Column:
+    """What names a row whose doc_id is null: a hash of its text, empty for a null text; null for other rows."""
+    name = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))
+    return F.when(F.col("doc_id").isNull(), name).alias("name")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set, null if empty) and buckets; one pass, no shuffle."""
+    """doc_id, name, n_shingles, node (name of the set, null if empty) and buckets; one pass, no shuffle."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +148,17 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("name"),
                     pa.array(counts, pa.int64()),
                     pa.array(names, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)),
                 ],
-                names=["doc_id", "n_shingles", "node", "buckets"],
+                names=["doc_id", "name", "n_shingles", "node", "buckets"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, node binary, buckets array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, name binary, n_shingles long, node binary, buckets array<long>"
+    return docs.select("doc_id", "text", text_name()).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -215,6 +224,9 @@ def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> D
     )
     chosen = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = full_sets(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), words)
+    # no doc_id leads to the nodes whose documents have none
+    nameless = shared.filter("rep is null").select("node").distinct()
+    sets = sets.union(full_sets(docs.filter("doc_id is null"), words).join(nameless, "node", "left_semi"))
     sets = cut(sets.dropDuplicates(["node"]), "sets")
     # texts of one doc_id belong together, whatever they say
     by_id = found.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top"))
@@ -256,28 +268,44 @@ def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> D
         first, last = last + 1, last * 8
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable) and kept of every document."""
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The columns of :func:`classes`, and the names of rows whose doc_id is null."""
     found = cut(sketches(docs, words), "sketches")
     reached = link_nodes(docs, found, words, percent)
-    nodes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    nodes = (
+        found.filter("node is not null")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.min("name").alias("least_name"))
+    )
     joined = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    names = joined.join(least, "component").select("node", "component_id")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", "node").join(names, "node", "left").select(
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("least_name").alias("kept_name"))
+    names = joined.join(least, "component").select("node", "component_id", "kept_name")
+    alone = F.col("node").isNull()
+    by_name = F.col("name").eqNullSafe(F.col("kept_name"))
+    by_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "name", "n_shingles", "node").join(names, "node", "left").select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.lit(True)).when(F.col("component_id").isNull(), by_name).otherwise(by_id).alias("kept"),
+        "name",
     )
 
 
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable) and kept of every document."""
+    return _classes(docs, words, percent).drop("name")
+
+
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one of least doc_id, with its columns; of repeated rows one stays."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
-    kept = classes(docs, words, percent).filter("kept").select(key).distinct()
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.hex("name")).alias("_key")
+    kept = _classes(docs, words, percent).filter("kept")
+    # of a doc_id whose texts are words or none, only a text whose class it stands for
+    kept = kept.groupBy(key).agg(F.max(F.col("n_shingles") > 0).alias("_full"))
     # dealt by the key once, for the row number and for the join
-    once = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    rows = docs.select(*docs.columns, key).withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
-    return rows.join(kept, "_key", "left_semi").select(*docs.columns)
+    once = Window.partitionBy("_key", "_full").orderBy(F.xxhash64("text"))
+    full = F.coalesce("text", F.lit("")).rlike(WORD).alias("_full")
+    rows = docs.select("*", text_name()).select(*docs.columns, key, full)
+    rows = rows.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
+    return rows.join(kept, ["_key", "_full"], "left_semi").select(*docs.columns)

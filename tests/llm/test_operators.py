@@ -229,6 +229,27 @@ def test_near_duplicates(spark, docs, none):
     assert classes(none).isEmpty() and deduplicate(none).isEmpty()
 
 
+def test_near_duplicates_without_ids(spark):
+    from lodestone.llm.neardup import classes, deduplicate
+
+    draw = random.Random(11)
+    make = lambda: " ".join(str(draw.randrange(10**6)) for _ in range(80))
+    first, second, third, fourth = (make() for _ in range(4))
+    rows = [
+        (None, first), (None, first), (None, first + " tail"), (None, second), (None, third), (None, None), (None, ""),
+        (7, third + " tail"), (5, fourth), (6, fourth + " tail"), (6, ""),
+    ]
+    df = spark.createDataFrame([(k, t, None, 0, "") for k, t in rows], SCHEMA)
+    got = [tuple(r) for r in classes(df).select("doc_id", "component_id", "kept").collect()]
+    assert len(got) == len(rows) and got.count((None, 7, False)) == 1 and got.count((7, 7, True)) == 1
+    assert sum(d is None and c is None and not k for d, c, k in got) in (1, 2)  # first, twice, or first with its tail
+    kept = [(r["doc_id"], r["text"]) for r in deduplicate(df).collect()]
+    assert len(kept) == len(set(kept))
+    assert len({(None, first), (None, first + " tail")} & set(kept)) == 1
+    rest = set(kept) - {(None, first), (None, first + " tail")}
+    assert rest == {(None, second), (None, None), (None, ""), (7, third + " tail"), (5, fourth), (6, "")}
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import public_tokenizers
