@@ -1,13 +1,15 @@
 """License scans by sentence rules.
 
 A text is cut into sentences, each is normalised (ASCII lower case, runs of anything but letters, digits and
-points to one space, outer points and spaces off) and looked up among known licence sentences.  The
-identifiers found, in order, form a sequence; ordered rules are matched against it, a rule that matches
+points to one space, outer points and spaces off) and looked up among known licence sentences.  Line ends within a
+paragraph are read as spaces first; where no such sentence is known its lines are looked up, and where none of
+these is known the parts around its colons.  The identifiers found, in order, form a sequence; ordered rules are matched against it, a rule that matches
 consumes its identifiers, so a longer rule placed before a shorter one keeps the shorter from matching again.
 
 Everything is an expression over one row: no shuffle, and a document's whole text is read.
 
 Defined results
+* n_sentences counts pieces between ``ENDS``, where each line end is one;
 * null text: read as empty; no known sentence: an empty sequence and no licences;
 * ties: the rule listed first wins; a licence found several times is reported once;
 * repeated rows are scanned each; other columns are passed on, but for names that the operator adds.
@@ -68,6 +70,81 @@ RULES = (
     ("Proprietary", ("AllRights",)),
 )
 
+#: Where sentences end if a line end inside a paragraph does not end one; comment marks alone make an empty line.
+WRAPPED_ENDS = r"[.!?;]+[ \t\r\n]+|:[ \t]*[\r\n]+|\r?\n[ \t#*/-]*\r?\n"
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_ISC = "permission to use copy modify {} distribute this software for any purpose with or without fee is hereby granted"
+_CC = "this work is licensed under {} creative commons attribution{} 4.0 international license"
+_GNU = {"GPL": "gnu general public license", "LGPL": "gnu lesser general public license", "AGPL": "gnu affero general public license"}
+_GNU_VERSIONS = (("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"))
+_FREE = [f"this {what} is free software" for what in ("program", "library", "file")]
+_TERMS = "you can redistribute it and or modify it under the terms of the {} as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+#: Full sentences of the licences themselves, beside those above.  Fixed values.
+FULL_SENTENCES = {
+    _MIT: "MITgrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
+    **{f"you may obtain a copy of the license at {h} www.apache.org licenses license 2.0": "ApacheCopy" for h in ("http", "https")},
+    "apache license version 2.0 january 2004": "Apache2title",
+    **{f"apache license version 2.0 january 2004 {h} www.apache.org licenses": "Apache2title" for h in ("http", "https")},
+    **{text: "GPLfree" for text in _FREE},
+    **{_TERMS.format(name): f"{gnu}terms" for gnu, name in _GNU.items()},
+    **{_LATER.format(v): f"GPL{v}later" for _, v in _GNU_VERSIONS},
+    "version 2 of the license": "GPL2only",
+    "version 3 of the license": "GPL3only",
+    **{f"{_TERMS.format(_GNU[g])} {_LATER.format(v)}": f"{g}{v}header" for g, v in _GNU_VERSIONS},
+    **{f"{free} {_TERMS.format(_GNU[g])} {_LATER.format(v)}": f"{g}{v}header" for free in _FREE for g, v in _GNU_VERSIONS},
+    "gnu general public license version 2 june 1991": "GPL2title",
+    "gnu general public license version 3 29 june 2007": "GPL3title",
+    "gnu lesser general public license version 2.1 february 1999": "LGPL2.1title",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL3title",
+    "gnu affero general public license version 3 19 november 2007": "AGPL3title",
+    **{_ISC.format(a): "ZeroBSDgrant" for a in ("and", "and or")},
+    **{f"{_ISC.format(a)} provided that the above copyright notice and this permission notice appear in all copies": "ISCgrant" for a in ("and", "and or")},
+    "this source code form is subject to the terms of the mozilla public license v": "MPLform",
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {h} mozilla.org mpl 2.0": "MPL2copy" for h in ("http", "https")},
+    "mozilla public license version 2.0": "MPL2title",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "boost software license version 1.0 august 17th 2003": "BSL1title",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "Zlibgrant",
+    **{_CC.format(a, k): f"CCBY{i}4ref" for a in ("a", "the") for k, i in (("", ""), (" sharealike", "SA"), (" noncommercial", "NC"))},
+}
+#: Rules over these, matched before and after ``RULES``.  Fixed values.
+FULL_RULES_FIRST = (
+    ("GPL-3.0", ("GPL3title", "GPL3header")),
+    ("GPL-2.0", ("GPL2title", "GPLfree", "GPLterms", "GPL2later")),
+    ("AGPL-3.0", ("AGPL3title", "AGPL3header")),
+    ("LGPL-2.1", ("LGPL2.1title", "GPLfree", "LGPLterms", "GPL2.1later")),
+    ("Apache-2.0", ("Apache2title", "Apache2ref", "ApacheCompliance", "ApacheCopy", "ApacheAsIs")),
+)
+FULL_RULES = (
+    *(
+        (f"{g}-{v if '.' in v else v + '.0'}-or-later", ids)
+        for g, v in _GNU_VERSIONS
+        for ids in (
+            (f"{g}{v}header",),
+            ("GPLfree", f"{g}{v}header"),
+            ("GPLfree", f"{g}terms", f"GPL{v}later"),
+            (f"{g}terms", f"GPL{v}later"),
+        )
+    ),
+    *((f"GPL-{v}.0-only", (*free, "GPLterms", f"GPL{v}only")) for v in "23" for free in (("GPLfree",), ())),
+    ("GPL-3.0", ("GPL3title",)),
+    ("GPL-2.0", ("GPL2title",)),
+    ("LGPL-2.1", ("LGPL2.1title",)),
+    ("LGPL-3.0", ("LGPL3title",)),
+    ("AGPL-3.0", ("AGPL3title",)),
+    ("Apache-2.0", ("Apache2title",)),
+    ("ISC", ("ISCgrant",)),
+    ("0BSD", ("ZeroBSDgrant",)),
+    ("MPL-2.0", ("MPLform", "MPL2copy")),
+    ("MPL-2.0", ("MPL2title",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSL-1.0", ("BSL1title",)),
+    ("Zlib", ("Zlibgrant",)),
+)
+
 
 def normalised(sentence: Column) -> Column:
     lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,8 +153,20 @@ def normalised(sentence: Column) -> Column:
 
 def sequence(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, each after a semicolon, one at the end."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    ids = F.transform(F.split(text, ENDS, -1), lambda s: let(normalised(s), lambda n: F.try_element_at(known, n)))
+    known = F.create_map(*(F.lit(x) for pair in (FULL_SENTENCES | SENTENCES).items() for x in pair))
+    name = lambda s: F.try_element_at(known, normalised(s))
+    none = F.array().cast("array<string>")
+
+    def parts(s: Column, ends: str) -> Column:
+        return F.filter(F.transform(F.split(s, ends, -1), name), lambda i: i.isNotNull())
+
+    def one(s: Column) -> Column:
+        at_colons = F.when(s.contains(":"), parts(s, r":[ \t\r\n]+")).otherwise(none)
+        by_line = let(parts(s, r"[\r\n]+"), lambda found: F.when(F.size(found) > 0, found).otherwise(at_colons))
+        apart = F.when(s.rlike(r"[\r\n]"), by_line).otherwise(at_colons)
+        return let(name(s), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(apart))
+
+    ids = F.flatten(F.transform(F.split(text, WRAPPED_ENDS, -1), one))
     return F.concat(F.lit(";"), F.array_join(F.filter(ids, lambda i: i.isNotNull()), ";"), F.lit(";"))
 
 
@@ -85,7 +174,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_sentences, sentence_ids (joined by ;) and licenses (joined by ,)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rules = F.array(
-        *(F.struct(F.lit(n).alias("name"), F.lit(";" + ";".join(ids) + ";").alias("ids")) for n, ids in RULES)
+        *(
+            F.struct(F.lit(n).alias("name"), F.lit(";" + ";".join(ids) + ";").alias("ids"))
+            for n, ids in (*FULL_RULES_FIRST, *RULES, *FULL_RULES)
+        )
     )
     begun = F.struct(F.col("_ids").alias("left"), F.array().cast("array<string>").alias("found"))
 
@@ -108,7 +200,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same over the view ``documents``, for DuckDB."""
+    """The same over the view ``documents``, for DuckDB, but with ``SENTENCES`` and ``RULES`` on unwrapped lines only."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in SENTENCES.items())
     steps = []
