@@ -82,7 +82,7 @@ def op9_write_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.tokenfiles import read_token_files, write_token_files
 
     manifest = write_token_files(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True
     )
     return read_token_files(manifest)
 

@@ -61,16 +61,22 @@ class Encoder:
 
     A byte-level splitting pattern never joins a character to white space after it.  So a text is cut
     before each run of white space, and each distinct chunk is split and each distinct piece of it goes through
-    the library's model once.  Letters beyond the Latin blocks are split by the library itself.
+    the library's model once.  Letters beyond the Latin blocks are split by the library itself.  With ``added``
+    a text that holds the content of an added token goes through the library whole, so that the token gets its own id;
+    without, such content is spelled out like any other.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_str(tokenizer_json)
         self.library_split, self.merge = whole.pre_tokenizer.pre_tokenize_str, whole.model.tokenize
         self.find, self.letters = regex.compile(_PATTERN).findall, byte_letters()
+        self.whole, tokens = whole.encode, whole.get_added_tokens_decoder().values() if added else ()
+        # a token that is matched in normalised text may be spelled otherwise in the text itself
+        odd = any(t.normalized for t in tokens) and whole.normalizer is not None
+        self.added = [""] if odd else [t.content for t in tokens]
         self.width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.parts: dict[str, bytes] = {}
@@ -111,6 +117,9 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(content in text for content in self.added):
+            ids = self.whole(text, add_special_tokens=False).ids
+            return b"".join(i.to_bytes(self.width, "little") for i in ids)
         plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD_SPACE.search(text))
         if not plain:
             return self._known(self.chunks, _CHUNK.findall(text), False)
@@ -198,9 +207,12 @@ class TokenFile:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, added: bool = False
+) -> DataFrame:
     """Encode and write all documents; the manifest: part, uri, documents, ids, start.
 
+    ``added`` gives the tokenizer's added tokens in a text their ids, as the library's own ``encode`` does.
     ``start`` counts the ids in the files before.  The tokenizer's file is broadcast; its size is fixed.
     """
     import pyarrow as pa
@@ -220,7 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 if out is None:
-                    encoder = Encoder(shared.value)
+                    encoder = Encoder(shared.value, added)
                     end = end_id.to_bytes(encoder.width, "little")
                     uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     store, path = FileSystem.from_uri(uri)
