@@ -38,7 +38,15 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: Entropy search: kind, pattern of a class run, window in characters, least entropy in bits a character.
-CLASSES = (("entropy_hex", r"[0-9a-fA-F]{20,}", 20, 3.0), ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.9))
+#: The thresholds of the last four are what all but one in 200 uniformly random windows of the alphabet reach.
+CLASSES = (
+    ("entropy_hex", r"[0-9a-fA-F]{20,}", 20, 3.0),
+    ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.9),
+    ("entropy_base32", r"[A-Z2-7]{20,}", 20, 3.28),
+    ("entropy_upper", r"[A-Z0-9]{20,}", 20, 3.34),
+    ("entropy_lower", r"[a-z0-9]{20,}", 20, 3.34),
+    ("entropy_mixed", r"[A-Za-z0-9]{20,}", 20, 3.58),
+)
 #: Candidates matching one of these are no secrets.
 ALLOWED = (
     r"^[A-Za-z]+$",  # a word
