@@ -8,8 +8,8 @@ against the error.  The cost of all decisions is the text's code length, so its
 
 Everything the tables hold is counted over all training documents: words and pairs of bytes in a first
 pass, the predictors in a second.  A task sends its counts in blocks that are added up as they stream in;
-the finished tables have a fixed size and are broadcast.  Long texts are cut into segments of ``SEGMENT``
-bytes; weights start anew in each and contexts reach back over the cut, so segments run side by side.
+the finished tables have a fixed size and are broadcast.  Weights start anew in each text and are carried through
+all of it; texts of like length run side by side.
 
 The base score needs the count of every word.  The commonest words, a fixed number at most, are broadcast;
 for the others a document's (word, times) pairs are joined with the counts and summed up again.
@@ -36,8 +36,8 @@ from lodestone.llm.common import cut
 FOLDS, HELD_OUT = 7, 2
 #: Bytes a context looks back, by predictor; slots of a table; blocks a table is sent in.
 LOOKS, SLOTS, BLOCKS = (1, 3, 5), 1 << 19, 32
-#: Bytes of a segment; bytes worked on at once; words counted before a worker hands on its counts.
-SEGMENT, AT_ONCE, COUNTED = 512, 1_200_000, 1 << 18
+#: Bytes worked on at once; words counted before a worker hands on its counts.
+AT_ONCE, COUNTED = 1_200_000, 1 << 18
 #: Words whose counts are broadcast, and the longest of them in bytes.
 COMMON, LONGEST = 1 << 19, 64
 #: Step of the weights and where they start, by predictor and for the constant.
@@ -132,7 +132,7 @@ class Code:
 
 
 class Decisions:
-    """The decisions of several texts, one segment after another, and their places in each table."""
+    """The decisions of several texts, one text after another, and their places in each table."""
 
     def __init__(self, code: Code, texts: list[bytes]):
         import numpy as np
@@ -151,12 +151,9 @@ class Decisions:
         self.symbol = np.repeat(np.arange(len(at), dtype=np.int32), length)
         place = np.arange(total, dtype=np.int32) + np.repeat((code.starts[key] - (ends - length)).astype(np.int32), length)
         self.node, self.bit = code.nodes[place], code.bits[place]
-        # segments: symbols of a text by SEGMENT
-        within = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        first = within % SEGMENT == 0
-        self.segment_text = np.repeat(np.arange(len(texts)), sizes)[first]
+        first = np.cumsum(sizes) - sizes  # a text has a symbol at least, its end
         edges = np.append((ends - length)[first], total)
-        self.segment_start, self.segment_size = edges[:-1], np.diff(edges)
+        self.text_start, self.text_size = edges[:-1], np.diff(edges)
         self.hashes = []
         for look in LOOKS[1:]:
             h = np.zeros(len(at), np.uint32)
@@ -178,11 +175,16 @@ class Decisions:
 
 
 def _groups(batch, keep) -> Iterator[tuple[list, list[bytes]]]:
-    """Runs of a batch's documents of about ``AT_ONCE`` bytes; a longer text is a run of its own."""
+    """Runs of a batch's documents by length, of about ``AT_ONCE`` bytes; a longer text is a run of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
+    by_length = np.argsort(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), kind="stable")
     rows, texts, size = [], [], 0
-    for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
-        if keep(doc_id):
-            raw = lowered(text.as_py())
+    for k in by_length.tolist():
+        if keep(ids[k]):
+            raw = lowered(column[k].as_py())
             if texts and size + len(raw) > AT_ONCE:
                 yield rows, texts
                 rows, texts, size = [], [], 0
@@ -265,9 +267,9 @@ def text_bits(code: Code, odds, gate, texts: list[bytes]):
     import numpy as np
 
     found = Decisions(code, texts)
-    # segments side by side, the longest first: at each step the ones still running are the first so many
-    lanes = np.argsort(-found.segment_size, kind="stable")
-    starts, sizes = found.segment_start[lanes], found.segment_size[lanes]
+    # texts side by side, the longest first: at each step the ones still running are the first so many
+    lanes = np.argsort(-found.text_size, kind="stable")
+    starts, sizes = found.text_start[lanes], found.text_size[lanes]
     steps = int(sizes[0]) if len(sizes) else 0
     running = np.searchsorted(-sizes, -np.arange(steps), side="left")
     edges = np.concatenate([[0], np.cumsum(running)])
@@ -300,7 +302,7 @@ def text_bits(code: Code, odds, gate, texts: list[bytes]):
     z *= 1 - 2 * y  # the log odds against what came
     cost = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))  # ln(1 + e^z) in single precision, added up in double
     by_lane = np.bincount(lane, cost, minlength=len(lanes)) / math.log(2)
-    return np.bincount(found.segment_text[lanes], by_lane, minlength=len(texts))
+    return np.bincount(lanes, by_lane, minlength=len(texts))
 
 
 def score(docs: DataFrame, common: int = COMMON) -> DataFrame:
