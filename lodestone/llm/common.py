@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a single machine) a folder under /tmp is made.
+    Only where that is unset a folder under /tmp is made, and only for a local master: executors on other
+    machines would not see it.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = getattr(spark, "_lodestone_shared", None)
     if made is None:
         import os
@@ -55,6 +59,26 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unique(what: str) -> str:
+    """A column name that no caller's column has."""
+    return f"_{what}_{uuid.uuid4().hex}"
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The caller's columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def over_arrays(run, schema: str, *columns: Column) -> Column:
+    """What ``run`` makes of the columns: a generator over Arrow arrays, or tuples of them for several columns.
+
+    Only these columns go to Python; the rest of the row waits in the JVM.
+    """
+    from pyspark.sql.functions import ArrowUDFType, arrow_udf
+
+    return arrow_udf(run, schema, ArrowUDFType.SCALAR_ITER)(*columns)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once; an expression within a lambda is not shared otherwise."""
     return F.element_at(F.transform(F.array(value), body), 1)

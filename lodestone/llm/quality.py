@@ -12,21 +12,25 @@ Defined results
 * null or empty text: no words, all counts 0, rejected by the base rule on length;
 * very long texts are read whole, one at a time; ties in the posterior (exactly 1/2) are kept;
 * repeated rows are judged each; an empty table gives no rows and no estimate;
-* other columns are passed on; names the operator adds replace columns of the same name.
+* other columns, whatever their names, are passed on by :func:`keep_good` and not read by :func:`judge`.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import columns_of, cut, over_arrays, unique
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+#: A mark that follows itself; a word without a letter or digit.
+_DOUBLED = re.compile(rb"([!-/:-@\[-`{-~])\1+")
+_BARE = re.compile(rb"[!-/:-@\[-`{-~]+").fullmatch
 #: Counted besides the base figures: what the rules look at.
 SIGNALS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -78,40 +82,34 @@ def text_signals(text: str | None) -> tuple:
     marks = sum(map(raw.count, (b".", b",", b"!", b"?", b"'", b'"', b"-", b":", b";", b"(", b")")))
     chars = len(text) - space
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marked = raw.count(b"!!") + raw.count(b" | ")
+    marked = len(_DOUBLED.findall(raw)) + sum(1 for w in words if _BARE(w))
     return (
         len(words), chars, symbols, len(lines) - len(set(lines)), repeat,
         len(lines), chars - symbols - digits - marks, upper, distinct, top, marked,
     )
 
 
-def signals(docs: DataFrame, *passed: str) -> DataFrame:
-    """The columns ``passed`` and ``SIGNALS`` of every document, in one pass over the texts, unshuffled."""
+def signals(text: Column) -> Column:
+    """``SIGNALS`` of a text, as a struct: the text alone goes to Python, and only numbers come back."""
     import pyarrow as pa
 
     names = [x.split()[0] for x in SIGNALS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [text_signals(t.as_py()) for t in batch.column("_text")]
-            columns = list(zip(*found)) if found else [()] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(p) for p in passed), *(pa.array(c, pa.int64()) for c in columns)],
-                names=[*passed, *names],
-            )
+    def run(batches):
+        for texts in batches:
+            rows = [text_signals(t.as_py()) for t in texts]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    rows = docs.select(*passed, F.col("text").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, SIGNALS]))
+    return over_arrays(run, SIGNALS, text)
 
 
 def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, 0).when(good, 1).otherwise(-1)
 
 
-def rules() -> dict[str, Column]:
-    """Name and vote of each rule; a ratio over no words abstains."""
-    c = F.col
+def rules(c: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Name and vote of each rule, from the signals that ``c`` gives; a ratio over no words abstains."""
     per = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
     some = c("n_words") > 0
     return {
@@ -182,24 +180,22 @@ def estimate(found: DataFrame) -> dict:
     return fit([(tuple(r[:-1]), r[-1]) for r in sorted(counted, key=tuple)])
 
 
-def verdict(found: DataFrame, model: dict, least_good: float) -> DataFrame:
-    """``base_failed``, ``good`` (the posterior) and ``kept`` beside the signals."""
+def verdict(model: dict, least_good: float, c: Callable[[str], Column] = F.col) -> tuple[Column, Column, Column]:
+    """``base_failed``, ``good`` (the posterior) and ``kept`` from the signals that ``c`` gives."""
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for vote, (bad, good) in zip(rules().values(), model["rates"]):
+    for vote, (bad, good) in zip(rules(c).values(), model["rates"]):
         step = {k: math.log(good[k] / bad[k]) for k in (-1, 0, 1)}
         odds = odds + F.when(vote == 0, step[0]).when(vote == 1, step[1]).otherwise(step[-1])
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return (
-        found.withColumn("base_failed", failed)
-        .withColumn("good", 1 / (1 + F.exp(-odds)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("good") >= least_good))
-    )
+    failed = (c("n_words") < LEAST_WORDS) | (100 * c("n_repeat_words") > MOST_REPEATED * c("n_words"))
+    good = 1 / (1 + F.exp(-odds))
+    return failed.alias("base_failed"), good.alias("good"), (~failed & (good >= least_good)).alias("kept")
 
 
 def judge(docs: DataFrame, least_good: float = LEAST_GOOD) -> DataFrame:
     """doc_id, the signals, ``base_failed``, ``good`` (the posterior) and ``kept`` of every document."""
-    found = cut(signals(docs, "doc_id"), "quality-signals")
-    return verdict(found, estimate(found), least_good)
+    found = docs.select("doc_id", signals(F.col("text")).alias("s")).select("doc_id", "s.*")
+    found = cut(found, "quality-signals")
+    return found.select("*", *verdict(estimate(found), least_good))
 
 
 def keep_good(docs: DataFrame, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -207,7 +203,7 @@ def keep_good(docs: DataFrame, least_good: float = LEAST_GOOD) -> DataFrame:
 
     The texts are read twice, to estimate and to judge, and so need not be shuffled or written.
     """
-    own = {f"_own_{c}": c for c in docs.columns}
-    renamed = docs.select("text", *(F.col(c).alias(k) for k, c in own.items()))
-    judged = verdict(signals(renamed, *own), estimate(signals(docs)), least_good)
-    return judged.filter("kept").select(*(F.col(k).alias(c) for k, c in own.items()))
+    model = estimate(docs.select(signals(F.col("text")).alias("s")).select("s.*"))
+    name = unique("signals")
+    judged = docs.select("*", signals(F.col("text")).alias(name))
+    return judged.filter(verdict(model, least_good, lambda c: F.col(name)[c])[2]).select(*columns_of(docs))
