@@ -3,7 +3,8 @@
 The pieces of a text are the matches of the splitting pattern.  They are counted over all documents, and the
 commonest, up to a fixed number, are encoded once by the fold and broadcast as a dictionary.  A second pass
 replaces them in every text; the pieces of a document that are not in the dictionary go through the same fold
-beside it, each distinct one once, so nothing is left out and no text is shuffled.
+beside it, each distinct one once, so nothing is left out and no text is shuffled.  Only pieces of more than
+``HEAPED`` bytes, whose fold would take the square of their length, are merged by the same ranks with a heap.
 
 The rank map is a literal: a table of 2 ** 18 numbers in which the pair (left id, right id) stands at one of
 two places given by fixed multipliers, since a map literal would be searched from its beginning.  Ids are ranks, so
@@ -12,40 +13,37 @@ the least rank among the neighbouring pairs is the id they merge into.
 Decoding concatenates the binary pieces of the ids.
 
 Defined results
-* null or empty text: no ids, the hashes of the empty string; very long texts are encoded whole, and the time
-  of one piece grows with the square of its length;
+* null or empty text: no ids, the hashes of the empty string; very long texts and pieces are encoded whole;
 * repeated rows are encoded each; an empty table gives no rows; special tokens in a text are ordinary text;
-* other columns are passed on by :func:`encode`, but for the names that it adds.
+* other columns, whatever their names, are passed on by :func:`encode`, but for the names that it adds.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, let
+from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, unique
 from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
-DICTIONARY, LONGEST = 1 << 19, 64
+DICTIONARY, LONGEST = 1 << 20, 32
 #: Pieces counted before a worker hands on its counts; chunks a worker remembers.
-COUNTED, REMEMBERED = 1 << 18, 1 << 17
-#: Code points of white space but for space and line feed.  Fixed values.
-_ODD = (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+COUNTED, REMEMBERED = 1 << 18, 1 << 16
+#: Characters of text cut up at once.
+AT_ONCE = 1 << 20
+#: Longer pieces are merged with a heap: the fold takes the square of a piece's length.
+HEAPED = 512
 
 
 def chunks(text: str) -> list[str]:
     """A text cut before each run of white space; the splitting pattern joins nothing across these cuts."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD_SPACE.search(text):
-        return _CHUNK.findall(text)
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or ODD_SPACE.search(text):
+        return CHUNK.findall(text)
     # single spaces and line ends: cutting after a mark put before each is faster
-    parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else _CHUNK.findall(text)
+    parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else CHUNK.findall(text)
     return parts if parts and parts[0] else parts[1:]
 
 
@@ -53,6 +51,10 @@ class RankMap:
     """The pairs of ids that merge, as a table and as a column expression."""
 
     SIZE, SHIFT = 1 << 18, 4
+    #: What stands at a free place: the key of a pair that cannot be.
+    EMPTY = 0xFFFFFFFF << 16
+    #: Greater than any rank.
+    NONE = 1 << 16
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= 1 << 16:
@@ -77,14 +79,14 @@ class RankMap:
         return ((left * a + right * b) >> self.SHIFT) & (self.SIZE - 1)
 
     def _placed(self, pairs: dict) -> list[int] | None:
-        table: list[int] = [-1] * self.SIZE
+        table: list[int] = [self.EMPTY] * self.SIZE
         for (left, right), rank in pairs.items():
             entry, which = ((left << 16 | right) << 16) | rank, 0
             for _ in range(500):
                 key = entry >> 16
                 at = self._at(which, key >> 16, key & 0xFFFF)
                 entry, table[at] = table[at], entry
-                if entry < 0:
+                if entry == self.EMPTY:
                     break
                 # what stood here goes to its other place
                 key = entry >> 16
@@ -107,14 +109,12 @@ class RankMap:
         return listed(self.table), listed(self.first)
 
     def merged(self, table: Column, left: Column, right: Column) -> Column:
-        """The id that two neighbours merge into, or null."""
-        key = F.shiftleft(left, 16) + right
-        a, b = (
-            F.get(table, F.shiftright(left * x + right * y, self.SHIFT).bitwiseAND(F.lit(self.SIZE - 1)).cast("int"))
-            for x, y in (self.factors[:2], self.factors[2:])
-        )
-        found = lambda e: e.bitwiseAND(F.lit(0xFFFF))
-        return F.when(F.shiftright(a, 16) == key, found(a)).when(F.shiftright(b, 16) == key, found(b))
+        """The id that two neighbours merge into, or ``NONE``; null without a neighbour."""
+        key = F.shiftleft(F.shiftleft(left, 16).bitwiseOR(right), 16)
+        at = lambda x, y: F.shiftright(left * x + right * y, self.SHIFT).bitwiseAND(F.lit(self.SIZE - 1))
+        # an entry is key and rank side by side: where the key agrees, what differs is the rank
+        found = [F.get(table, at(x, y).cast("int")).bitwiseXOR(key) for x, y in (self.factors[:2], self.factors[2:])]
+        return F.least(*found, F.lit(self.NONE))
 
 
 def fold_merges(words: Column, ranks: RankMap) -> Column:
@@ -125,40 +125,57 @@ def fold_merges(words: Column, ranks: RankMap) -> Column:
 
 
 def _fold(word: Column, ranks: RankMap, table: Column, first: Column) -> Column:
-    merged = lambda left, right: ranks.merged(table, left, right)
-    none = F.array().cast("array<bigint>")
+    bits = 24  # of a place in a word; rank and place in one number, so the least number is the leftmost least rank
 
-    def begin(ids: Column) -> Column:
-        # the rank of each id with the next; the last has none
-        return F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), merged).alias("ranks"))
-
-    def put(state: Column, best: Column, place: Column) -> Column:
-        ids, known = state["ids"], state["ranks"]
-        before = F.when(
-            place > 1,
-            F.concat(
-                F.slice(known, F.lit(1), F.greatest(place - 2, F.lit(0))),
-                F.array(merged(F.get(ids, place - 2), best)),
-            ),
-        ).otherwise(none)
-        after = F.slice(known, place + 2, F.size(ids))
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), place - 1), F.array(best), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
-            F.concat(before, F.array(merged(best, F.get(ids, place + 1))), after).alias("ranks"),
+    def step(ids: Column, _: Column) -> Column:
+        rated = F.transform(
+            ids,
+            lambda x, k: F.shiftleft(ranks.merged(table, x, F.get(ids, k + 1)), bits).bitwiseOR(k.cast("bigint")),
         )
 
-    def step(state: Column, _: Column) -> Column:
-        place = lambda best: F.array_position(state["ranks"], best).cast("int")
-        return let(
-            F.array_min(state["ranks"]),
-            lambda best: F.when(best.isNull(), state).otherwise(let(place(best), lambda p: put(state, best, p))),
-        )
+        def put(least: Column) -> Column:
+            place = least.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+            merged = lambda k: F.concat(
+                F.slice(ids, F.lit(1), k), F.array(F.shiftright(least, bits)), F.slice(ids, k + 3, F.size(ids))
+            )
+            return F.when(least < F.lit(ranks.NONE << bits), let(place, merged)).otherwise(ids)
+
+        return let(F.array_min(rated), put)  # the last id has no pair and rates null
 
     # one character for each byte
     letters = F.split(F.decode(word, "ISO-8859-1"), "")
-    begun = let(F.transform(letters, lambda c: F.get(first, F.ascii(c))), begin)
+    begun = F.transform(letters, lambda c: F.get(first, F.ascii(c)))
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step, lambda s: s["ids"]))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step))
+
+
+def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that the fold gives, in a time that hardly grows faster than the length of the word."""
+    import heapq
+
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbours, by where a part begins
+    ends = list(range(1, n + 1))
+
+    def rank(k: int) -> int | None:
+        return ranks.get(word[k : ends[after[k]]]) if after[k] < n else None
+
+    heap = [(r, k, ends[after[k]]) for k in range(n) if (r := rank(k)) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, k, end = heapq.heappop(heap)
+        if not alive[k] or after[k] >= n or ends[after[k]] != end:
+            continue  # one of the two has merged since
+        gone = after[k]
+        alive[gone], ends[k], after[k] = False, end, after[gone]
+        if after[k] < n:
+            before[after[k]] = k
+        for j in (before[k], k):
+            if j >= 0 and (r := rank(j)) is not None:
+                heapq.heappush(heap, (r, j, ends[after[j]]))
+    return [ranks[word[k : ends[k]]] for k in range(n) if alive[k]]
 
 
 def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
@@ -212,130 +229,214 @@ def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, size: int = DICTIO
             least = r["n"] + 1
             break
     words = counted.filter(F.col("n") >= least).select("piece", fold_merges(F.array("piece"), ranks)[0].alias("ids"))
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), ""))
+    low_first = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: low_first(F.lpad(F.hex(i), 4, "0"))), ""))
     return words.select("piece", packed.alias("ids")).toArrow()
 
 
-_DICTIONARIES: dict = {}
+class Pieces:
+    """The dictionary in few bytes: pieces found by their hashes in order, many at once."""
 
+    def __init__(self, pieces, ids):
+        import numpy as np
+        import xxhash
 
-def _known_pieces(shared) -> dict[str, bytes]:
-    """The broadcast dictionary as a dict, made once by a worker."""
-    import numpy as np
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes, pieces.to_pylist())), np.uint64, len(pieces))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.pieces, self.ids = hashes[order], pieces.take(order), ids.take(order)
 
-    if shared.id not in _DICTIONARIES:
-        _DICTIONARIES.clear()
-        pieces, ids = shared.value
-        _DICTIONARIES[shared.id] = {
-            p.decode("utf-8", "surrogatepass"): np.frombuffer(i, ">u2").astype("<u2").tobytes()
-            for p, i in zip(pieces.to_pylist(), ids.to_pylist())
-        }
-    return _DICTIONARIES[shared.id]
+    def get(self, wanted: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each piece, or None."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import xxhash
 
+        if not len(self.hashes) or not wanted:
+            return [None] * len(wanted)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, wanted), np.uint64, len(wanted))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = pc.equal(self.pieces.take(at), pa.array(wanted, pa.binary()))
+        return pc.if_else(same, self.ids.take(at), pa.scalar(None, pa.binary())).to_pylist()
 
-class _Shared:
-    """A broadcast with its id, which a worker keeps its dictionary by."""
 
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
+_KEPT: dict = {}
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
+def _once(name: str, make):
+    """What ``make`` gives, made once by a worker and kept until another query's is asked for."""
+    if _KEPT.get("name") != name:
+        _KEPT.clear()
+        _KEPT.update(name=name, value=make())
+    return _KEPT["value"]
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, size: int = DICTIONARY) -> DataFrame:
-    """``docs`` with ``ids``: the ids of the text as packed little-endian unsigned 16-bit numbers."""
+
+def _looked_up(text: Column, shared, ranks, pattern: str) -> Column:
+    """What the dictionary gives: packed ids, where the pieces it lacks go, which of ``rare`` each is, and ``rare``."""
     import uuid
 
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    ranks = RankMap(read_ranks(rank_file))
-    table = dictionary(docs, ranks, pattern, size)
-    shared = _Shared(
-        spark.sparkContext.broadcast((table.column("piece").combine_chunks(), table.column("ids").combine_chunks())),
-        uuid.uuid4().hex,
-    )
-    own = {f"_own_{k}": c for k, c in enumerate(docs.columns) if c != "ids"}
+    name = uuid.uuid4().hex
+    schema = "found binary, places array<int>, which array<int>, rare array<binary>"
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):
+        import numpy as np
         import regex
 
         split = regex.compile(pattern).findall
-        pieces = _known_pieces(shared)
-        known: dict[str, bytes] = {}  # whole chunks
-
-        def one(text: str):
-            parts = chunks(text)
-            found = list(map(known.get, parts))
-            holes, which, rare, k = [], [], {}, -1
-            for _ in range(found.count(None)):
-                k = found.index(None, k + 1)
-                chunk, ids, whole = parts[k], b"", True
-                for piece in split_chunk(chunk, split):
-                    got = pieces.get(piece)
-                    if got is None:
-                        whole = False
-                        holes.append((k, len(ids)))
-                        which.append(rare.setdefault(piece, len(rare)))
-                    else:
-                        ids += got
-                found[k] = ids
-                if whole and len(chunk) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            places = []
-            if holes:
-                ends = list(accumulate(map(len, found)))
-                places = [(ends[k] - len(found[k]) + at) // 2 for k, at in holes]
-            return b"".join(found), places, which, [p.encode("utf-8", "surrogatepass") for p in rare]
+        pieces, known = _once(name, lambda: (Pieces(*shared.value), {}))
+
+        def learn(fresh: list[str]) -> dict[str, list]:
+            """For each chunk its parts: packed ids, or the bytes of a piece to fold."""
+            parts = [split_chunk(c, split) for c in fresh]
+            wanted = list({p: None for x in parts for p in x})
+            raw = [p.encode("utf-8", "surrogatepass") for p in wanted]
+            got = {}
+            for piece, b, ids in zip(wanted, raw, pieces.get(raw)):
+                if ids is None and len(b) > HEAPED:
+                    ids = np.array(heap_merges(b, ranks.value), "<u2").tobytes()
+                got[piece] = (ids, b)
+            return {c: [got[p] for p in x] for c, x in zip(fresh, parts)}
+
+        def rows_of(texts: list[str]) -> Iterator[tuple]:
+            cut_up = [chunks(t) for t in texts]
+            if len(known) >= REMEMBERED:
+                known.clear()
+            holed = {}
+            for chunk, parts in learn(list({c: None for x in cut_up for c in x if c not in known})).items():
+                if all(ids is not None for ids, _ in parts):
+                    known[chunk] = b"".join(ids for ids, _ in parts)
+                else:
+                    holed[chunk] = parts
+            for x in cut_up:
+                found = list(map(known.get, x))
+                places, which, rare = [], [], {}
+                if None in found:
+                    at = 0
+                    for k, ids in enumerate(found):
+                        if ids is None:
+                            ids = b""
+                            for packed, raw in holed[x[k]]:
+                                if packed is None:
+                                    places.append((at + len(ids)) // 2)
+                                    which.append(rare.setdefault(raw, len(rare)))
+                                else:
+                                    ids += packed
+                            found[k] = ids
+                        at += len(ids)
+                yield b"".join(found), places, which, list(rare)
 
         for batch in batches:
-            rows = [one(t.as_py() or "") for t in batch.column("_text")]
+            rows, texts, size = [], [], 0
+            for t in batch:
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size >= AT_ONCE:
+                    rows += rows_of(texts)
+                    texts, size = [], 0
+            rows += rows_of(texts)
             found, places, which, rare = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
+            yield pa.StructArray.from_arrays(
                 [
-                    *(batch.column(k) for k in own),
                     pa.array(found, pa.binary()),
                     pa.array(places, pa.list_(pa.int32())),
                     pa.array(which, pa.list_(pa.int32())),
                     pa.array(rare, pa.list_(pa.binary())),
                 ],
-                names=[*own, "_found", "_places", "_which", "_rare"],
+                names=["found", "places", "which", "rare"],
             )
 
-    def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    return over_arrays(run, schema, text)
 
-        for batch in batches:
-            out = []
-            for k in range(len(batch)):
-                found = batch.column("_found")[k].as_py()
-                which = batch.column("_which")[k].as_py()
-                if which:
-                    rare = [np.array(x, "<u2").tobytes() for x in batch.column("_ids")[k].as_py()]
-                    parts, at = [], 0
-                    for place, w in zip(batch.column("_places")[k].as_py(), which):
-                        parts += (found[2 * at : 2 * place], rare[w])
-                        at = place
-                    found = b"".join([*parts, found[2 * at :]])
-                out.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in own), pa.array(out, pa.binary())], names=[*own, "ids"]
-            )
 
-    rows = docs.select(*(F.col(c).alias(k) for k, c in own.items()), F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    looked = rows.mapInArrow(
-        look_up, f"{kept}, _found binary, _places array<int>, _which array<int>, _rare array<binary>"
-    )
-    folded = looked.select(
-        *own, "_found", "_places", "_which", fold_merges(F.col("_rare"), ranks).alias("_ids")
-    )
-    done = folded.mapInArrow(put_in, f"{kept}, ids binary")
-    return done.select(*(F.col(k).alias(c) for k, c in own.items()), "ids")
+def _put_in(found, places, which, folded) -> list[bytes]:
+    """Packed ids of each text of a batch: the folded ids at their places among the ones found."""
+    import numpy as np
+
+    flat = folded.values  # a list of ids for each rare piece
+    edges, ids = flat.offsets.to_numpy(), flat.values.to_numpy().astype("<u2")
+    out = []
+    for k, begin in enumerate(folded.offsets.to_numpy()[:-1].tolist()):
+        packed = found[k].as_py()
+        if chosen := which[k].as_py():
+            parts, at = [], 0
+            for place, w in zip(places[k].as_py(), chosen):
+                parts += (packed[2 * at : 2 * place], ids[edges[begin + w] : edges[begin + w + 1]].tobytes())
+                at = place
+            packed = b"".join([*parts, packed[2 * at :]])
+        out.append(packed)
+    return out
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digester(ranks: dict[bytes, int]):
+    """Packed ids to their number, the hash of the ids and the hash of what they decode to."""
+    from hashlib import sha256
+
+    import numpy as np
+
+    size = max(ranks.values()) + 1
+    pieces, spelled = [b""] * size, [b"%d" % i for i in range(size)]
+    for piece, i in ranks.items():
+        pieces[i] = piece
+
+    def digest(packed) -> tuple[int, str, str]:
+        ids = np.frombuffer(packed, "<u2").tolist()
+        decoded = b"".join(map(pieces.__getitem__, ids))
+        return len(ids), sha256(b" ".join(map(spelled.__getitem__, ids))).hexdigest(), sha256(decoded).hexdigest()
+
+    return digest
+
+
+def _digest_arrays(rows: list[tuple]):
+    import pyarrow as pa
+
+    counts, ids_hash, text_hash = zip(*rows) if rows else ((), (), ())
+    return [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+
+
+def encode(
+    docs: DataFrame,
+    rank_file: str,
+    pattern: str,
+    size: int = DICTIONARY,
+    with_digests: bool = False,
+    passed: list[str] | None = None,
+) -> DataFrame:
+    """The columns ``passed`` (all) of ``docs`` and ``ids``, those of the text as packed little-endian 16-bit numbers.
+
+    ``with_digests`` adds the columns of :func:`digests`.
+    """
+    import pyarrow as pa
+
+    context = docs.sparkSession.sparkContext
+    vocabulary = read_ranks(rank_file)
+    ranks, shared_ranks = RankMap(vocabulary), context.broadcast(vocabulary)
+    table = dictionary(docs, ranks, pattern, size)
+    shared = context.broadcast((table.column("piece").combine_chunks(), table.column("ids").combine_chunks()))
+    added = ["ids", *(["n_tokens", "ids_sha256", "decoded_sha256"] if with_digests else [])]
+    own = {f"own{k}": c for k, c in enumerate(docs.columns if passed is None else passed) if c not in added}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = _digester(shared_ranks.value) if with_digests else None
+        for batch in batches:
+            packed = _put_in(*map(batch.column, ("found", "places", "which", "folded")))
+            columns = [pa.array(packed, pa.binary())]
+            if digest:
+                columns += _digest_arrays([digest(p) for p in packed])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], names=[*own, *added])
+
+    kept = [F.col("`" + c.replace("`", "``") + "`").alias(k) for k, c in own.items()]
+    rows = docs.select(*kept, _looked_up(F.col("text"), shared, shared_ranks, pattern).alias("looked"))
+    part = lambda c: F.col("looked")[c].alias(c)
+    folded = fold_merges(F.col("looked")["rare"], ranks).alias("folded")
+    rows = rows.select(*own, part("found"), part("places"), part("which"), folded)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(own)])
+    done = rows.mapInArrow(run, kinds + "ids binary" + (", " + DIGESTS if with_digests else ""))
+    return done.select(*(F.col(k).alias(c) for k, c in own.items()), *added)
 
 
 def digests(encoded: DataFrame, rank_file: str, *passed: str) -> DataFrame:
@@ -345,38 +446,16 @@ def digests(encoded: DataFrame, rank_file: str, *passed: str) -> DataFrame:
     """
     import pyarrow as pa
 
-    kept = ["doc_id", *passed]
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
-        import numpy as np
-
-        size = max(shared.value.values()) + 1
-        pieces, spelled = [b""] * size, [b"%d" % i for i in range(size)]
-        for piece, i in shared.value.items():
-            pieces[i] = piece
+    def run(batches):
+        digest = _digester(shared.value)
         for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
-            for packed in batch.column("ids"):
-                ids = np.frombuffer(packed.as_buffer(), "<u2").tolist()
-                counts.append(len(ids))
-                ids_hash.append(sha256(b" ".join(map(spelled.__getitem__, ids))).hexdigest())
-                text_hash.append(sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in kept),
-                    pa.array(counts, pa.int64()),
-                    pa.array(ids_hash, pa.string()),
-                    pa.array(text_hash, pa.string()),
-                ],
-                names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            rows = [digest(packed.as_buffer()) for packed in batch]
+            yield pa.StructArray.from_arrays(_digest_arrays(rows), names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = encoded.select(*kept, *(["ids"] if "ids" not in kept else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kept, found = ["doc_id", *passed], unique("digests")
+    return encoded.select(*kept, over_arrays(run, DIGESTS, F.col("ids")).alias(found)).select(*kept, f"{found}.*")
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:

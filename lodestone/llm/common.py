@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import tempfile
 import uuid
@@ -12,6 +13,12 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Code points of white space but for space and line feed.  Fixed values.
+_ODD = (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
+#: A run of white space and what follows it; Python's white space also has the four separators 1C to 1F.
+CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -74,9 +81,14 @@ def over_arrays(run, schema: str, *columns: Column) -> Column:
 
     Only these columns go to Python; the rest of the row waits in the JVM.
     """
-    from pyspark.sql.functions import ArrowUDFType, arrow_udf
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
 
-    return arrow_udf(run, schema, ArrowUDFType.SCALAR_ITER)(*columns)
+    given = pa.Array if len(columns) == 1 else tuple[pa.Array, ...]
+    run.__annotations__ = {next(iter(inspect.signature(run).parameters)): Iterator[given], "return": Iterator[pa.Array]}
+    return arrow_udf(run, schema)(*columns)
 
 
 def let(value: Column, body) -> Column:

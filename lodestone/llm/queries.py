@@ -60,11 +60,12 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from lodestone.llm.bytebpe import digests, encode
+    from lodestone.llm.bytebpe import encode
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    docs = table(spark, sf_dir, "documents")
+    encoded = encode(docs, ranks, public_tokenizers.PATTERN, with_digests=True, passed=["doc_id"])
+    return encoded.drop("ids")
 
 
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

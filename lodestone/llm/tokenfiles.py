@@ -23,7 +23,6 @@ Defined results
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -32,18 +31,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, fresh_path
+from lodestone.llm.common import CHUNK, ODD_SPACE, cut, fresh_path
 from lodestone.llm.wordpiece import split_chunk
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Encoded chunks a worker remembers before it starts anew: bounds its memory.
 REMEMBERED, REMEMBERED_CHARS = 3 << 18, 64
-#: Code points of white space as the splitting pattern has it, but for space and line feed.  Fixed values.
-_ODD = (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_ODD_SPACE = re.compile("[" + "".join(map(chr, _ODD)) + "]")
-#: Python's white space also has the four separators 1C to 1F.
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-
 
 #: The splitting pattern of byte-level tokenizers.  Fixed value.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -120,9 +113,9 @@ class Encoder:
         if any(content in text for content in self.added):
             ids = self.whole(text, add_special_tokens=False).ids
             return b"".join(i.to_bytes(self.width, "little") for i in ids)
-        plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD_SPACE.search(text))
+        plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or ODD_SPACE.search(text))
         if not plain:
-            return self._known(self.chunks, _CHUNK.findall(text), False)
+            return self._known(self.chunks, CHUNK.findall(text), False)
         # single spaces and line ends only: a part stands for itself with the space before it
         parts = text.replace("\n", " \n").split(" ")
         first = parts.pop(0)
