@@ -37,8 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bytebpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return bytebpe.digests(encoded, ranks, "ids")
+    return bytebpe.encode(docs, ranks, public_tokenizers.PATTERN, with_digests=True, passed=["doc_id"])
 
 
 STAGES = [
