@@ -9,9 +9,11 @@
    it: a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full sets.
 4. Components are formed.  A bucket whose nodes beyond its centres still lie in several components may hide
    a link, so further centres follow there (1, then 8, 64, ... of them), only across components, until each
-   pair in a bucket is compared, known to be in one component, or known to be no link: one minus the
-   similarity is a distance, so two nodes whose distances to the first centre differ by more than the
-   greatest distance of a link cannot be linked.  No bucket is capped.
+   pair in a bucket is compared, known to be in one component, or known to be no link by one of two bounds:
+   one minus the similarity is a distance, so two nodes whose distances to the first centre differ by more than
+   the greatest distance of a link cannot be linked; and shingles that no other undecided node holds are in no
+   intersection, so what is left of either set must reach 0.8 / 1.8 of both sizes, and a node with more
+   than a fifth of its shingles to itself is done.  No bucket is capped.
 
 Shingles are 64-bit hashes and a set's name is a 128-bit hash of them.  With 32 bands of 6 rows a pair of
 similarity 0.8 shares no bucket with probability 6e-5, one of 0.85 with 1e-6.
@@ -24,7 +26,7 @@ Defined results
 * rows with a null doc_id are documents of their own, named by their texts (equal texts are repeated rows); they reach
   the least id of their component, or null if it has none, and then the one of least name is kept;
 * an empty table gives no rows;
-* other columns are not read, and :func:`deduplicate` passes them on.
+* other columns, whatever their names, are not read, and :func:`deduplicate` passes them on.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, cut
+from lodestone.llm.common import WORD, columns_of, cut, unique
 from lodestone.llm.components import connected_components
 
 #: Bands and rows of a signature; words in a shingle; least similarity in percent.
 BANDS, ROWS, WORDS, PERCENT = 32, 6, 5, 80
 #: Word hashes a worker remembers: bounds its memory.
 REMEMBERED = 1 << 19
+#: Keys (8 to 24 bytes each) that are broadcast at most; more of them are shuffled.
+BROADCAST = 1 << 20
 
 
 class _WordHashes(dict):
@@ -127,13 +131,18 @@ def text_name() -> Column:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, name, n_shingles, node (name of the set, null if empty) and buckets; one pass, no shuffle."""
+    """row, doc_id, name, n_shingles, node (name of the set, null if empty) and buckets; one pass, no shuffle.
+
+    Row numbers hold once they are written.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from pyspark import TaskContext
 
         known, sketcher = _WordHashes(), Sketcher()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             counts, names, found = [], [], []
             for text in batch.column("text"):
@@ -147,17 +156,19 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(range(row, row + len(batch)), pa.int64()),
                     batch.column("doc_id"),
                     batch.column("name"),
                     pa.array(counts, pa.int64()),
                     pa.array(names, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)),
                 ],
-                names=["doc_id", "name", "n_shingles", "node", "buckets"],
+                names=["row", "doc_id", "name", "n_shingles", "node", "buckets"],
             )
+            row += len(batch)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, name binary, n_shingles long, node binary, buckets array<long>"
+    schema = f"row long, doc_id {kind}, name binary, n_shingles long, node binary, buckets array<long>"
     return docs.select("doc_id", "text", text_name()).mapInArrow(run, schema)
 
 
@@ -177,8 +188,16 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, set binary")
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, marked to be broadcast if they are counted to be few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes with their distance on the full sets, and whether 100 |A & B| >= percent |A or B|."""
+    """The pairs (u, v) of nodes with their distance on the full sets, and whether 100 |A & B| >= percent |A or B|.
+
+    Only sets that stand in a pair are dealt out.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,87 +216,116 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 names=["u", "v", "apart", "linked"],
             )
 
-    with_a = pairs.join(sets.toDF("u", "a"), "u")
-    both = with_a.join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u binary, v binary, apart double, linked boolean")
+    pairs = cut(pairs, "pairs")
+    side = lambda k, s: sets.toDF(k, s).join(_few(pairs.select(k).distinct()), k, "left_semi")
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u long, v long, apart double, linked boolean")
 
 
-def link_nodes(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """Components (node, component) of the nodes in ``found`` that have a link."""
-    nodes = (
-        found.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("buckets").alias("buckets"))
-    )
+def exclusive(sets: DataFrame) -> DataFrame:
+    """id and the number of its shingles that no other of the sets holds, where there are any."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for k, s in zip(batch.column("id").to_pylist(), batch.column("set")):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(h)], names=["id", "shingle"])
+
+    held = sets.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return held.filter("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def link_nodes(docs: DataFrame, found: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components (node, component), by id, of the ``nodes`` (id, node, rep, n, buckets) that have a link."""
     in_bucket = Window.partitionBy("bucket")
     met = cut(
-        nodes.select("node", "rep", "n", F.explode("buckets").alias("bucket"))
+        nodes.select("id", "n", F.explode("buckets").alias("bucket"))
         .withColumn("size", F.count("*").over(in_bucket))
         .filter("size > 1"),
         "buckets",
     )
-    mates = met.groupBy("node").agg(F.sum("size").alias("mates"))
-    foremost = in_bucket.orderBy(F.desc("mates"), F.xxhash64("node"), "node")
+    mates = met.groupBy("id").agg(F.sum("size").alias("mates"))
+    foremost = in_bucket.orderBy(F.desc("mates"), F.xxhash64("id"), "id")
     shared = cut(
-        met.join(mates, "node").select("node", "rep", "n", "bucket", F.row_number().over(foremost).alias("nth")),
-        "ranked-buckets",
+        met.join(mates, "id").select("id", "n", "bucket", F.row_number().over(foremost).alias("nth")), "ranked-buckets"
     )
-    chosen = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), words)
+    ids = shared.select("id").distinct()
+    chosen = cut(nodes.select("id", "node", "rep").join(_few(ids), "id", "left_semi"), "shared-nodes")
+    texts = docs.select("doc_id", "text").join(_few(chosen.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     # no doc_id leads to the nodes whose documents have none
-    nameless = shared.filter("rep is null").select("node").distinct()
-    sets = sets.union(full_sets(docs.filter("doc_id is null"), words).join(nameless, "node", "left_semi"))
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    sets = full_sets(texts, words).union(full_sets(docs.filter("doc_id is null"), words))
+    sets = sets.join(_few(chosen.select("node", "id")), "node").groupBy("id").agg(F.any_value("set").alias("set"))
+    sets = cut(sets, "sets")
     # texts of one doc_id belong together, whatever they say
-    by_id = found.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("top"))
-    links = found.join(by_id.filter("v <> top"), "doc_id").filter("node <> v").select(F.col("node").alias("u"), "v")
+    by_id = found.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("p"), F.max("node").alias("q"))
+    several = found.join(by_id.filter("p <> q").select("doc_id"), "doc_id").select("doc_id", "node").distinct()
+    several = several.join(nodes.select("node", "id"), "node").select("doc_id", "id")
+    first_id = several.groupBy("doc_id").agg(F.min("id").alias("v"))
+    links = several.join(first_id, "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
     left, first, last, greatest = shared, 1, 1, 1 - percent / 100 + 1e-9
     while True:
-        seen = ["component", "apart"] if first > 1 else []
+        seen = ["component", "apart", "rest"] if first > 1 else []
         side = lambda t: left.select(  # noqa: E731, B023
-            "bucket", *(F.col(c).alias(f"{c}_{t}") for c in ["n", "nth", *seen]), F.col("node").alias(t)  # noqa: B023
+            "bucket", *(F.col(c).alias(f"{c}_{t}") for c in ["n", "nth", *seen]), F.col("id").alias(t)  # noqa: B023
         )
         # a set much smaller than the other cannot be similar enough
-        like = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-        pairs = side("u").join(side("v").filter(F.col("nth_v").between(first, last)), "bucket")
-        pairs = pairs.filter((F.col("nth_u") > F.col("nth_v")) & like)
+        possible = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+        possible &= F.col("nth_u") > F.col("nth_v")
         if first > 1:
-            near = F.coalesce(F.abs(F.col("apart_u") - F.col("apart_v")) <= greatest, F.lit(True))
-            pairs = pairs.filter((F.col("component_u") != F.col("component_v")) & near)
+            possible &= F.coalesce(F.abs(F.col("apart_u") - F.col("apart_v")) <= greatest, F.lit(True))
+            possible &= (100 + percent) * F.least("rest_u", "rest_v") >= percent * (F.col("n_u") + F.col("n_v"))
+            possible &= F.col("component_u") != F.col("component_v")
+        centres = side("v").filter(F.col("nth_v").between(first, last))
+        pairs = side("u").join(centres.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & possible)
         tested = cut(compared(pairs.select("u", "v").distinct(), sets, percent), "compared")
         # with the stars found so far in place of the links that made them
         reached = cut(connected_components(links.union(tested.filter("linked").select("u", "v"))), "components")
         links = reached.select(F.col("node").alias("u"), F.col("component").alias("v"))
         if first == 1:
-            centre = shared.filter("nth = 1").select("bucket", F.col("node").alias("v"))
-            known = tested.select(F.col("u").alias("node"), "v", "apart")
-            left = cut(
-                shared.filter("nth > 1").join(centre, "bucket").join(known, ["node", "v"], "left").drop("v"),
-                "centre-distances",
-            )
-        beyond = (
-            left.drop("component")
-            .filter(F.col("nth") > last)
-            .join(reached, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-        )
-        several = beyond.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-        left = cut(beyond.join(several.filter("p <> q").select("bucket"), "bucket", "left_semi"), "beyond")
+            centre = shared.filter("nth = 1").select("bucket", F.col("id").alias("v"))
+            known = tested.select(F.col("u").alias("id"), "v", "apart")
+            left = shared.filter("nth > 1").join(centre, "bucket").join(known, ["id", "v"], "left").drop("v")
+        component = reached.select(F.col("node").alias("id"), "component")
+        beyond = left.drop("component").filter(F.col("nth") > last).join(component, "id", "left")
+        left = _undecided(beyond.withColumn("component", F.coalesce("component", "id")))
         if left.isEmpty():
             return reached
+        if first == 1:
+            own = exclusive(sets.join(_few(left.select("id").distinct()), "id", "left_semi"))
+            left = left.join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            left = _undecided(left.filter(100 * F.col("rest") >= percent * F.col("n")))
+            if left.isEmpty():
+                return reached
         first, last = last + 1, last * 8
 
 
+def _undecided(left: DataFrame) -> DataFrame:
+    """The rows in buckets that hold several components."""
+    several = left.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+    return cut(left.join(several.filter("p <> q").select("bucket"), "bucket", "left_semi"), "beyond")
+
+
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The columns of :func:`classes`, and the names of rows whose doc_id is null."""
     found = cut(sketches(docs, words), "sketches")
-    reached = link_nodes(docs, found, words, percent)
-    nodes = (
+    nodes = cut(
         found.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.min("name").alias("least_name"))
+        .agg(
+            F.min("row").alias("id"),
+            F.min("doc_id").alias("rep"),
+            F.min("name").alias("least_name"),
+            F.any_value("n_shingles").alias("n"),
+            F.any_value("buckets").alias("buckets"),
+        ),
+        "nodes",
     )
-    joined = nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reached = link_nodes(docs, found, nodes, words, percent)
+    joined = nodes.select("node", "id", "rep", "least_name").join(reached.withColumnRenamed("node", "id"), "id", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "id"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("least_name").alias("kept_name"))
     names = joined.join(least, "component").select("node", "component_id", "kept_name")
     alone = F.col("node").isNull()
@@ -299,13 +347,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one of least doc_id, with its columns; of repeated rows one stays."""
-    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.hex("name")).alias("_key")
+    key, full, nth = unique("key"), unique("full"), unique("nth")
+    named = lambda name: F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.hex(name)).alias(key)
     kept = _classes(docs, words, percent).filter("kept")
     # of a doc_id whose texts are words or none, only a text whose class it stands for
-    kept = kept.groupBy(key).agg(F.max(F.col("n_shingles") > 0).alias("_full"))
+    kept = kept.groupBy(named("name")).agg(F.max(F.col("n_shingles") > 0).alias(full))
     # dealt by the key once, for the row number and for the join
-    once = Window.partitionBy("_key", "_full").orderBy(F.xxhash64("text"))
-    full = F.coalesce("text", F.lit("")).rlike(WORD).alias("_full")
-    rows = docs.select("*", text_name()).select(*docs.columns, key, full)
-    rows = rows.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
-    return rows.join(kept, ["_key", "_full"], "left_semi").select(*docs.columns)
+    once = Window.partitionBy(key, full).orderBy(F.xxhash64("text"))
+    words_in_it = F.coalesce("text", F.lit("")).rlike(WORD).alias(full)
+    rows = docs.select("*", named(text_name()), words_in_it)
+    rows = rows.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1)
+    return rows.join(kept, [key, full], "left_semi").select(*columns_of(docs))
