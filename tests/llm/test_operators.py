@@ -357,22 +357,3 @@ def test_language_model(spark, docs, none):
     again = [x for _, x in sorted((r["doc_id"], r["score"]) for r in score(docs).collect())]
     assert again == pytest.approx([x for _, x in sorted((r["doc_id"], r["score"]) for r in got)], rel=1e-4)
     assert score(none).isEmpty()
-
-
-def test_model_is_a_probability():
-    """The lengths of all continuations of a context add up to probability one."""
-    from lodestone.llm import mixer
-
-    pairs = np.zeros(1 << 16, np.int64)
-    pairs[ord("a") << 8 | ord("b")] = 9
-    code = mixer.Code(pairs)
-    spent = [0.0] * 256
-    for before in range(256):
-        spent[before] = sum(2.0 ** -int(n) for n in code.lengths[before << 8 : (before + 1) << 8])
-    assert spent == pytest.approx([1.0] * 256)
-    odds = np.random.default_rng(1).normal(size=3 * mixer.SLOTS).astype(np.float32)
-    gate = np.zeros(mixer.SLOTS, np.uint8)
-    ends = mixer.text_bits(code, odds, gate, [b"", b"a", b"ab", b"ab" * 3000])
-    assert ends[0] < ends[1] < ends[2] < ends[3] and np.isfinite(ends).all()
-    together = mixer.text_bits(code, odds, gate, [b"ab" * 3000])
-    assert together[0] == pytest.approx(ends[3], rel=1e-5)
