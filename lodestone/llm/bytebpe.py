@@ -21,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, unique
 from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
-DICTIONARY, LONGEST = 1 << 20, 32
-#: Pieces counted before a worker hands on its counts; chunks a worker remembers.
-COUNTED, REMEMBERED = 1 << 18, 1 << 16
+DICTIONARY, LONGEST = 1 << 21, 32
+#: Pieces counted before a worker hands on its counts; chunks a worker remembers, and as many that it used before.
+COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Characters of text cut up at once.
 AT_ONCE = 1 << 20
 #: Longer pieces are merged with a heap: the fold takes the square of a piece's length.
@@ -219,7 +220,7 @@ def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, size: int = DICTIONARY):
-    """The commonest pieces, ``size`` at most, and their ids as packed numbers: two Arrow columns."""
+    """The commonest pieces, ``size`` at most, and their ids as packed numbers: hashes, pieces and ids in the order of the hashes."""
     counted = cut(count_pieces(docs, pattern).filter(F.octet_length("piece") <= LONGEST), "piece-counts")
     left, least = size, 1
     # how many pieces occur how often: as many rows as there are different numbers
@@ -228,22 +229,18 @@ def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, size: int = DICTIO
         if left < 0:
             least = r["n"] + 1
             break
-    words = counted.filter(F.col("n") >= least).select("piece", fold_merges(F.array("piece"), ranks)[0].alias("ids"))
+    words = counted.filter(F.col("n") >= least).select("piece", F.xxhash64("piece").alias("hash"), fold_merges(F.array("piece"), ranks)[0].alias("ids"))
     low_first = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: low_first(F.lpad(F.hex(i), 4, "0"))), ""))
-    return words.select("piece", packed.alias("ids")).toArrow()
+    found = words.select("hash", "piece", packed.alias("ids")).toArrow().sort_by("hash")
+    return found["hash"].to_numpy(), found["piece"].combine_chunks(), found["ids"].combine_chunks()
 
 
 class Pieces:
-    """The dictionary in few bytes: pieces found by their hashes in order, many at once."""
+    """The dictionary in few bytes: pieces in the order of their hashes, many found at once."""
 
-    def __init__(self, pieces, ids):
-        import numpy as np
-        import xxhash
-
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes, pieces.to_pylist())), np.uint64, len(pieces))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.pieces, self.ids = hashes[order], pieces.take(order), ids.take(order)
+    def __init__(self, hashes, pieces, ids):
+        self.hashes, self.pieces, self.ids = hashes, pieces, ids
 
     def get(self, wanted: list[bytes]) -> list[bytes | None]:
         """Packed ids of each piece, or None."""
@@ -254,7 +251,8 @@ class Pieces:
 
         if not len(self.hashes) or not wanted:
             return [None] * len(wanted)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, wanted), np.uint64, len(wanted))
+        # Spark's xxhash64 of a binary
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, wanted, repeat(42)), np.uint64, len(wanted)).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         same = pc.equal(self.pieces.take(at), pa.array(wanted, pa.binary()))
         return pc.if_else(same, self.ids.take(at), pa.scalar(None, pa.binary())).to_pylist()
@@ -271,21 +269,24 @@ def _once(name: str, make):
     return _KEPT["value"]
 
 
-def _looked_up(text: Column, shared, ranks, pattern: str) -> Column:
-    """What the dictionary gives: packed ids, where the pieces it lacks go, which of ``rare`` each is, and ``rare``."""
+#: What the dictionary gives: packed ids, where the pieces it lacks go, which of ``rare`` each is, and ``rare``.
+LOOKED = "found binary, places array<int>, which array<int>, rare array<binary>"
+
+
+def _look_up(shared, ranks, pattern: str):
+    """A function from a column of texts to the columns of ``LOOKED``."""
     import uuid
 
     import pyarrow as pa
 
     name = uuid.uuid4().hex
-    schema = "found binary, places array<int>, which array<int>, rare array<binary>"
 
-    def run(batches):
+    def run(batch) -> list:
         import numpy as np
         import regex
 
         split = regex.compile(pattern).findall
-        pieces, known = _once(name, lambda: (Pieces(*shared.value), {}))
+        pieces, known, before = _once(name, lambda: (Pieces(*shared.value), {}, {}))
 
         def learn(fresh: list[str]) -> dict[str, list]:
             """For each chunk its parts: packed ids, or the bytes of a piece to fold."""
@@ -301,53 +302,64 @@ def _looked_up(text: Column, shared, ranks, pattern: str) -> Column:
 
         def rows_of(texts: list[str]) -> Iterator[tuple]:
             cut_up = [chunks(t) for t in texts]
-            if len(known) >= REMEMBERED:
+            if len(known) >= REMEMBERED:  # what has not been asked for since the last time goes
+                before.clear()
+                before.update(known)
                 known.clear()
+            got = [list(map(known.get, x)) for x in cut_up]
+            lacking, fresh = [], set()
+            for x, found in zip(cut_up, got):
+                k, at = -1, []
+                for _ in range(found.count(None)):
+                    k = found.index(None, k + 1)
+                    at.append(k)
+                    fresh.add(x[k])
+                lacking.append(at)
+            again = [c for c in fresh if c in before]
+            known.update(zip(again, map(before.__getitem__, again)))
+            fresh.difference_update(again)
             holed = {}
-            for chunk, parts in learn(list({c: None for x in cut_up for c in x if c not in known})).items():
-                if all(ids is not None for ids, _ in parts):
-                    known[chunk] = b"".join(ids for ids, _ in parts)
-                else:
+            for chunk, parts in learn(list(fresh)).items():
+                ids = [p for p, _ in parts]
+                if None in ids:
                     holed[chunk] = parts
-            for x in cut_up:
-                found = list(map(known.get, x))
-                places, which, rare = [], [], {}
-                if None in found:
-                    at = 0
-                    for k, ids in enumerate(found):
-                        if ids is None:
-                            ids = b""
-                            for packed, raw in holed[x[k]]:
-                                if packed is None:
-                                    places.append((at + len(ids)) // 2)
-                                    which.append(rare.setdefault(raw, len(rare)))
-                                else:
-                                    ids += packed
-                            found[k] = ids
-                        at += len(ids)
+                else:
+                    known[chunk] = b"".join(ids)
+            for x, found, at in zip(cut_up, got, lacking):
+                places, which, rare, holes = [], [], {}, []
+                for k in at:
+                    ids = known.get(x[k])
+                    if ids is None:
+                        ids = b""
+                        for packed, raw in holed[x[k]]:
+                            if packed is None:
+                                holes.append((k, len(ids)))
+                                which.append(rare.setdefault(raw, len(rare)))
+                            else:
+                                ids += packed
+                    found[k] = ids
+                if holes:
+                    ends = list(accumulate(map(len, found)))
+                    places = [(ends[k] - len(found[k]) + at) // 2 for k, at in holes]
                 yield b"".join(found), places, which, list(rare)
 
-        for batch in batches:
-            rows, texts, size = [], [], 0
-            for t in batch:
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= AT_ONCE:
-                    rows += rows_of(texts)
-                    texts, size = [], 0
-            rows += rows_of(texts)
-            found, places, which, rare = zip(*rows) if rows else ((), (), (), ())
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(found, pa.binary()),
-                    pa.array(places, pa.list_(pa.int32())),
-                    pa.array(which, pa.list_(pa.int32())),
-                    pa.array(rare, pa.list_(pa.binary())),
-                ],
-                names=["found", "places", "which", "rare"],
-            )
-
-    return over_arrays(run, schema, text)
+        rows, texts, size = [], [], 0
+        for t in batch:
+            texts.append(t.as_py() or "")
+            size += len(texts[-1])
+            if size >= AT_ONCE:
+                rows += rows_of(texts)
+                texts, size = [], 0
+        rows += rows_of(texts)
+        found, places, which, rare = zip(*rows) if rows else ((), (), (), ())
+        return [
+            pa.array(found, pa.binary()),
+            pa.array(places, pa.list_(pa.int32())),
+            pa.array(which, pa.list_(pa.int32())),
+            pa.array(rare, pa.list_(pa.binary())),
+        ]
+
+    return run
 
 
 def _put_in(found, places, which, folded) -> list[bytes]:
@@ -369,6 +381,7 @@ def _put_in(found, places, which, folded) -> list[bytes]:
     return out
 
 
+#: Columns that digests adds.
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -415,8 +428,7 @@ def encode(
     context = docs.sparkSession.sparkContext
     vocabulary = read_ranks(rank_file)
     ranks, shared_ranks = RankMap(vocabulary), context.broadcast(vocabulary)
-    table = dictionary(docs, ranks, pattern, size)
-    shared = context.broadcast((table.column("piece").combine_chunks(), table.column("ids").combine_chunks()))
+    look_up = _look_up(context.broadcast(dictionary(docs, ranks, pattern, size)), shared_ranks, pattern)
     added = ["ids", *(["n_tokens", "ids_sha256", "decoded_sha256"] if with_digests else [])]
     own = {f"own{k}": c for k, c in enumerate(docs.columns if passed is None else passed) if c not in added}
 
@@ -430,12 +442,19 @@ def encode(
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], names=[*own, *added])
 
     kept = [F.col("`" + c.replace("`", "``") + "`").alias(k) for k, c in own.items()]
-    rows = docs.select(*kept, _looked_up(F.col("text"), shared, shared_ranks, pattern).alias("looked"))
-    part = lambda c: F.col("looked")[c].alias(c)
-    folded = fold_merges(F.col("looked")["rare"], ranks).alias("folded")
-    rows = rows.select(*own, part("found"), part("places"), part("which"), folded)
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(own)])
-    done = rows.mapInArrow(run, kinds + "ids binary" + (", " + DIGESTS if with_digests else ""))
+    rows = docs.select(*kept, F.col("text").alias("whole_text"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = look_up(batch.column("whole_text"))
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, own), *columns], names=[*own, "found", "places", "which", "rare"]
+            )
+
+    looked = rows.mapInArrow(look, kinds + LOOKED)
+    folded = fold_merges(F.col("rare"), ranks).alias("folded")
+    done = looked.select(*own, "found", "places", "which", folded).mapInArrow(run, kinds + "ids binary" + (", " + DIGESTS if with_digests else ""))
     return done.select(*(F.col(k).alias(c) for k, c in own.items()), *added)
 
 

@@ -11,9 +11,9 @@
    a link, so further centres follow there (1, then 8, 64, ... of them), only across components, until each
    pair in a bucket is compared, known to be in one component, or known to be no link by one of two bounds:
    one minus the similarity is a distance, so two nodes whose distances to the first centre differ by more than
-   the greatest distance of a link cannot be linked; and shingles that no other undecided node holds are in no
-   intersection, so what is left of either set must reach 0.8 / 1.8 of both sizes, and a node with more
-   than a fifth of its shingles to itself is done.  No bucket is capped.
+   the greatest distance of a link cannot be linked; and an intersection holds at most the fewer of the two nodes'
+   shingles that the centre has, and the fewer of those that neither the centre has nor one undecided node alone.
+   A node with more than a fifth of its shingles to itself is done.  No bucket is capped.
 
 Shingles are 64-bit hashes and a set's name is a 128-bit hash of them.  With 32 bands of 6 rows a pair of
 similarity 0.8 shares no bucket with probability 6e-5, one of 0.85 with 1e-6.
@@ -194,7 +194,7 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes with their distance on the full sets, and whether 100 |A & B| >= percent |A or B|.
+    """The pairs (u, v) of nodes with what their full sets share, their distance, and whether 100 |A & B| >= percent |A or B|.
 
     Only sets that stand in a pair are dealt out.
     """
@@ -204,22 +204,23 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            linked, apart = [], []
+            linked, apart, shared = [], [], []
             for a, b in zip(batch.column("a"), batch.column("b")):
                 a = np.frombuffer(a.as_buffer(), np.uint64)
                 b = np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
                 apart.append(1 - both / (len(a) + len(b) - both))
+                shared.append(both)
+            columns = [pa.array(shared, pa.int64()), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("v"), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())],
-                names=["u", "v", "apart", "linked"],
+                [batch.column("u"), batch.column("v"), *columns], names=["u", "v", "both", "apart", "linked"]
             )
 
     pairs = cut(pairs, "pairs")
     side = lambda k, s: sets.toDF(k, s).join(_few(pairs.select(k).distinct()), k, "left_semi")
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long, apart double, linked boolean")
+    return both.mapInArrow(run, "u long, v long, both long, apart double, linked boolean")
 
 
 def exclusive(sets: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def link_nodes(docs: DataFrame, found: DataFrame, nodes: DataFrame, words: int,
     links = several.join(first_id, "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
     left, first, last, greatest = shared, 1, 1, 1 - percent / 100 + 1e-9
     while True:
-        seen = ["component", "apart", "rest"] if first > 1 else []
+        seen = ["component", "apart", "both", "rest"] if first > 1 else []
         side = lambda t: left.select(  # noqa: E731, B023
             "bucket", *(F.col(c).alias(f"{c}_{t}") for c in ["n", "nth", *seen]), F.col("id").alias(t)  # noqa: B023
         )
@@ -276,7 +277,9 @@ def link_nodes(docs: DataFrame, found: DataFrame, nodes: DataFrame, words: int,
         possible &= F.col("nth_u") > F.col("nth_v")
         if first > 1:
             possible &= F.coalesce(F.abs(F.col("apart_u") - F.col("apart_v")) <= greatest, F.lit(True))
-            possible &= (100 + percent) * F.least("rest_u", "rest_v") >= percent * (F.col("n_u") + F.col("n_v"))
+            inside, beyond = F.when(F.col("both_u") < F.col("both_v"), F.col("both_u")).otherwise(F.col("both_v")), lambda t: F.col(f"rest_{t}") - F.col(f"both_{t}")
+            most = F.coalesce(inside + F.least(beyond("u"), beyond("v")), F.least("rest_u", "rest_v"))
+            possible &= (100 + percent) * most >= percent * (F.col("n_u") + F.col("n_v"))
             possible &= F.col("component_u") != F.col("component_v")
         centres = side("v").filter(F.col("nth_v").between(first, last))
         pairs = side("u").join(centres.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & possible)
@@ -286,15 +289,16 @@ def link_nodes(docs: DataFrame, found: DataFrame, nodes: DataFrame, words: int,
         links = reached.select(F.col("node").alias("u"), F.col("component").alias("v"))
         if first == 1:
             centre = shared.filter("nth = 1").select("bucket", F.col("id").alias("v"))
-            known = tested.select(F.col("u").alias("id"), "v", "apart")
-            left = shared.filter("nth > 1").join(centre, "bucket").join(known, ["id", "v"], "left").drop("v")
+            known = tested.select(F.col("u").alias("id"), "v", "both", "apart")
+            left = shared.filter("nth > 1").join(centre, "bucket").join(known, ["id", "v"], "left")
         component = reached.select(F.col("node").alias("id"), "component")
         beyond = left.drop("component").filter(F.col("nth") > last).join(component, "id", "left")
         left = _undecided(beyond.withColumn("component", F.coalesce("component", "id")))
         if left.isEmpty():
             return reached
         if first == 1:
-            own = exclusive(sets.join(_few(left.select("id").distinct()), "id", "left_semi"))
+            held = left.select("id").union(left.select("v")).distinct()
+            own = exclusive(sets.join(_few(held), "id", "left_semi"))
             left = left.join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
             left = _undecided(left.filter(100 * F.col("rest") >= percent * F.col("n")))
             if left.isEmpty():
