@@ -381,6 +381,13 @@ def _put_in(found, places, which, folded) -> list[bytes]:
     return out
 
 
+def _slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Batches of so many rows at most: what a worker makes of a batch at once is bounded with it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 #: Columns that digests adds.
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -434,7 +441,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digester(shared_ranks.value) if with_digests else None
-        for batch in batches:
+        for batch in _slices(batches):
             packed = _put_in(*map(batch.column, ("found", "places", "which", "folded")))
             columns = [pa.array(packed, pa.binary())]
             if digest:
@@ -446,7 +453,7 @@ def encode(
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             columns = look_up(batch.column("whole_text"))
             yield pa.RecordBatch.from_arrays(
                 [*map(batch.column, own), *columns], names=[*own, "found", "places", "which", "rare"]

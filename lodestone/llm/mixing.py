@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, words_in
+from lodestone.llm.common import columns_of, cut, unique, words_in
 
 #: Weight of the k-th source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -154,17 +154,17 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The training order: a row per copy taken, range-sorted by ``training_position``.
+def mix(docs: DataFrame, position: str = "training_position", **parameters) -> DataFrame:
+    """The training order: a row per copy taken, range-sorted by the column ``position``.
 
-    All columns of ``docs`` stay; copies of a document differ in their position only.
+    All columns of ``docs`` stay, but for one of that name; copies of a document differ in their position only.
     """
+    row, occurrence, nth, positions = map(unique, ("row", "occurrence", "nth", "positions"))
     plan = plan_mix(docs, **parameters).filter(F.size("positions") > 0)
-    plan = plan.select("_row", F.col("occurrence").alias("_nth"), F.col("positions").alias("_positions"))
-    kept = [c for c in docs.columns if c not in ("training_position", "_row", "_occurrence", "_nth", "_positions")]
-    rows = docs.select(*kept, _row_name().alias("_row")).withColumn("_occurrence", F.row_number().over(_alike()))
-    # written as a difference, the second condition is no join key, and the texts stay dealt by _row alone
-    placed = rows.join(plan, "_row").filter(F.col("_occurrence") - F.col("_nth") == 0)
-    return placed.select(*kept, F.explode("_positions").alias("training_position")).orderBy(
-        "training_position", "doc_id"
-    )
+    plan = plan.select(F.col("_row").alias(row), F.col("occurrence").alias(nth), F.col("positions").alias(positions))
+    kept = [c for c, name in zip(columns_of(docs), docs.columns) if name != position]
+    alike = Window.partitionBy(row).orderBy("doc_id", "source")
+    rows = docs.select(*kept, _row_name().alias(row)).withColumn(occurrence, F.row_number().over(alike))
+    # written as a difference, the second condition is no join key, and the texts stay dealt by row alone
+    placed = rows.join(plan, row).filter(F.col(occurrence) - F.col(nth) == 0)
+    return placed.select(*kept, F.explode(positions).alias(position)).orderBy(position, "doc_id")

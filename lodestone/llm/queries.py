@@ -13,7 +13,10 @@ from lodestone.llm.common import table
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import plan_mix
 
-    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = plan_mix(table(spark, sf_dir, "documents"))
+    plan = plan.select("doc_id", "size", "source_size", "target", "taken", "positions")
+    # in the order of training; documents left out come last
+    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

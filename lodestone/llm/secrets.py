@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import columns_of, let, unique
 
 #: kind, pattern, group whose length counts, least length.  Fixed values.
 BASE = (
@@ -138,26 +138,29 @@ def _suspicious(window: int, least: float):
     return keep
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: arrays of (start, kind, end, value), sorted.
-
-    ``base`` has the three patterns' spans, ``found`` those and the spans found by entropy.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = [
+def _found(docs: DataFrame, base: str, found: str) -> DataFrame:
+    """``docs`` with the spans of :func:`scan` in columns of the names given."""
+    text, more_spans = F.coalesce(F.col("text"), F.lit("")), unique("more")
+    fixed = [
         _spans(text, F.lit(k), p, lambda m, p=p, g=g, n=n: F.char_length(F.regexp_extract(m, p, g)) >= n)
         for k, (_, p, g, n) in enumerate(BASE)
     ]
     more = [
         _spans(text, F.lit(len(BASE) + k), p, _suspicious(w, least)) for k, (_, p, w, least) in enumerate(CLASSES)
     ]
-    kept = [c for c in docs.columns if c not in ("base", "found", "_base", "_more")]
-    return (
-        docs.select(*kept, F.concat(*base).alias("_base"), F.concat(*more).alias("_more"))
-        .withColumn("base", F.array_sort("_base"))
-        .withColumn("found", F.array_sort(F.concat("_base", "_more")))
-        .select(*kept, "base", "found")
-    )
+    kept = columns_of(docs)
+    spans = docs.select(*kept, F.array_sort(F.concat(*fixed)).alias(base), F.concat(*more).alias(more_spans))
+    return spans.select(*kept, base, F.array_sort(F.concat(base, more_spans)).alias(found))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``base`` and ``found``: arrays of (start, kind, end, value), sorted.
+
+    ``base`` has the three patterns' spans, ``found`` those and the spans found by entropy.  They take the place of
+    columns of these names.
+    """
+    kept = [c for c, name in zip(columns_of(docs), docs.columns) if name not in ("base", "found")]
+    return _found(docs.select(*kept), "base", "found")
 
 
 def kinds() -> list[str]:
@@ -192,8 +195,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def rest(state: Column) -> Column:
         return F.concat(state["text"], F.substring(text, state["at"] + 1, F.char_length(text)))
 
-    cleaned = F.when(F.size("found") > 0, F.aggregate("found", begun, step, rest)).otherwise(text)
-    out = scan(docs).withColumn("text", cleaned)
+    base, found = unique("base"), unique("found")
+    cleaned = F.when(F.size(found) > 0, F.aggregate(found, begun, step, rest)).otherwise(text)
+    out = _found(docs, base, found).withColumn("text", cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))
