@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, secrets, mixing, byte-level BPE.
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+read again as the next one's ``docs``.  All but the last return the columns of ``documents``, and whatever other
+columns there are, whatever their names.  Null and empty texts are rejected by the quality rules; an empty table gives
+no rows; repeated rows are near duplicates of each other; long texts go through every stage whole.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bytebpe, mixing, neardup, quality, secrets
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import columns_of, cut, table, unique
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in training order; documents that it leaves out go."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, position=unique("position")).select(*columns_of(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
