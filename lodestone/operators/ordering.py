@@ -27,7 +27,7 @@ ESTIMATORS = ("det_mcd", "ogk", "mrcd")
 RULES = ("uniform", "sample_count", "monotone_half", "occupancy", "occupancy_floor10", "frame_core", "hybrid")
 #: Other names of methods.
 ALIASES = {"z_order": "morton", "isotropic_hilbert": "hilbert", "pca": "pca_hilbert", "robust": "robust_hilbert"}
-#: Points up to which the iterative robust estimators run on the driver's copy of a sample-free cloud.
+#: Points up to which the iterative robust estimators run, on the driver's copy of the cloud; more are refused.
 LOCAL_FIT = 2_000_000
 
 
@@ -105,13 +105,15 @@ def checked(cloud: DataFrame) -> tuple[DataFrame, dict]:
 def fit(cloud: DataFrame, facts: dict, config: OrderingConfig) -> dict:
     """Centre and frame of the framed methods.
 
-    The orthogonalized estimator needs medians only and runs as aggregates; the iterative ones take the
-    cloud's points to one place, so beyond ``LOCAL_FIT`` points the orthogonalized one stands in.
+    The orthogonalized estimator needs medians only and runs as aggregates on a cloud of any size; the iterative
+    ones take the cloud's points to one place and refuse more than ``LOCAL_FIT``: no other estimator stands in.
     """
     if config.name == "pca_hilbert":
         found = {"center": facts["mean"], "scatter": facts["cov"], "policy": "none"}
-    elif config.estimator == "ogk" or facts["n"] > LOCAL_FIT:
+    elif config.estimator == "ogk":
         found = ogk_big(cloud)
+    elif facts["n"] > LOCAL_FIT:
+        raise OrderingError("unsupported_method", f"{config.estimator} fits up to {LOCAL_FIT} points; choose ogk")
     else:
         points = cloud.orderBy("raw_index").select("x", "y", "z").toPandas().to_numpy()
         found = {"det_mcd": robust.det_mcd, "mrcd": robust.mrcd}[config.estimator](points)

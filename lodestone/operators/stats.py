@@ -6,9 +6,12 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import linalg
+
 
 def paired_contrast(rows: DataFrame, arm: str, base: str, target: str, keys: list[str], metric: str) -> DataFrame:
     """``metric`` of arm ``target`` less that of arm ``base`` on each key that has both."""
@@ -59,7 +62,7 @@ def sign_test(wins: int, losses: int) -> float:
 
 
 def signed_rank_p(blocks: list[list[tuple[str, float]]], draws: int = 20_000, seed: int = 20260513) -> float:
-    """Two-sided p of the signed-rank sum when whole blocks change sign; exact up to 20 blocks.
+    """One-sided p of so low a signed-rank sum when whole blocks change sign; exact up to 20 blocks.
 
     A block lists (stratum, difference); ranks are mid-ranks of the magnitudes within a stratum.
     """
@@ -73,12 +76,12 @@ def signed_rank_p(blocks: list[list[tuple[str, float]]], draws: int = 20_000, se
     sums = np.zeros(len(blocks))
     for r, (_, d, k) in zip(ranks, flat):
         sums[k] += math.copysign(r, d)
-    observed = abs(sums.sum())
+    observed = sums.sum()
     if len(blocks) <= 20:
         signs = 1 - 2 * ((np.arange(2 ** len(blocks))[:, None] >> np.arange(len(blocks))) & 1)
-        return float((np.abs(signs @ sums) >= observed - 1e-12).mean())
+        return float((signs @ sums <= observed + 1e-12).mean())
     signs = np.random.default_rng(seed).choice([-1, 1], size=(draws, len(blocks)))
-    return float(((np.abs(signs @ sums) >= observed - 1e-12).sum() + 1) / (draws + 1))
+    return float(((signs @ sums <= observed + 1e-12).sum() + 1) / (draws + 1))
 
 
 def median_bootstrap(strata: dict[str, list[float]], draws: int = 20_000, seed: int = 20260513) -> tuple:
@@ -126,12 +129,23 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def mean_interval(rows: DataFrame, by: list[str], value: str, t: float = 1.96) -> DataFrame:
-    """Mean with t standard errors on either side."""
-    error = F.coalesce(F.stddev_samp(value), F.lit(0.0)) / F.sqrt(F.count(value).cast("double"))
-    return rows.groupBy(*by).agg(
-        F.avg(value).alias("mean"), (F.avg(value) - t * error).alias("low"), (F.avg(value) + t * error).alias("high")
+def student_quantile(freedom: int, share: float = 0.975) -> float:
+    """Quantile above the middle of Student's t: the root of the F quantile with 1 and ``freedom`` degrees."""
+    return math.sqrt(linalg.quantile(lambda x: linalg.f_cdf(x, 1, freedom), 2 * share - 1))
+
+
+def mean_interval(rows: DataFrame, by: list[str], value: str, share: float = 0.975) -> DataFrame:
+    """Mean with Student's t standard errors on either side, n - 1 degrees; no interval around a single value."""
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        return n.map({k: student_quantile(int(k) - 1, share) for k in n.unique() if k > 1}).astype(float)
+
+    found = rows.groupBy(*by).agg(
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n")
     )
+    reach = quantile("_n") * F.col("_sd") / F.sqrt(F.col("_n").cast("double"))
+    return found.select(*by, "mean", (F.col("mean") - reach).alias("low"), (F.col("mean") + reach).alias("high"))
 
 
 def leader(rows: DataFrame, by: list[str], arm: str, value: str) -> DataFrame:

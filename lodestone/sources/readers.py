@@ -107,6 +107,11 @@ def ply_points(content: bytes) -> np.ndarray:
 def _member(content: bytes, path: str, member: str | None) -> bytes:
     if path.endswith((".tar.gz", ".tgz")):
         with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as t:
+            if member is None:  # the only PLY file of the archive
+                names = [m.name for m in t.getmembers() if m.isfile() and m.name.lower().endswith(".ply")]
+                if len(names) != 1:
+                    raise ValueError(f"{len(names)} PLY members; name one")
+                member = names[0]
             found = t.extractfile(member)
             if found is None:
                 raise ValueError(f"no member {member}")
