@@ -6,9 +6,9 @@ replaces them in every text; the pieces of a document that are not in the dictio
 beside it, each distinct one once, so nothing is left out and no text is shuffled.  Only pieces of more than
 ``HEAPED`` bytes, whose fold would take the square of their length, are merged by the same ranks with a heap.
 
-The rank map is a literal: a table of 2 ** 18 numbers in which the pair (left id, right id) stands at one of
-two places given by fixed multipliers, since a map literal would be searched from its beginning.  Ids are ranks, so
-the least rank among the neighbouring pairs is the id they merge into.
+The rank map is a literal table, a sparse matrix of ranks (left id by right id) with its rows laid over each other,
+since a map literal would be searched from its beginning.  Ids are ranks, so the least rank among the neighbouring
+pairs is the id they merge into.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -30,7 +30,7 @@ from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, unique
 from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
-DICTIONARY, LONGEST = 1 << 21, 32
+DICTIONARY, LONGEST = 1 << 20, 32
 #: Pieces counted before a worker hands on its counts; chunks a worker remembers, and as many that it used before.
 COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Characters of text cut up at once.
@@ -49,106 +49,89 @@ def chunks(text: str) -> list[str]:
 
 
 class RankMap:
-    """The pairs of ids that merge, as a table and as a column expression."""
+    """The pairs of ids that merge, as a table and as a column expression.
 
-    SIZE, SHIFT = 1 << 18, 4
-    #: What stands at a free place: the key of a pair that cannot be.
-    EMPTY = 0xFFFFFFFF << 16
+    The rows of the sparse matrix of ranks (left id by right id) are laid over each other, each at the first offset at
+    which its entries meet free places: the pair (left, right) stands at the left id's offset plus the right id.
+    """
+
+    #: What stands at a free place: the entry of a left id that cannot be.
+    EMPTY = 0xFFFF << 16
     #: Greater than any rank.
     NONE = 1 << 16
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 1 << 16:
-            raise ValueError("ranks above 65535 do not fit the table")
-        pairs = {}
+        if max(ranks.values()) >= self.NONE - 1:
+            raise ValueError("ranks above 65534 do not fit the table")
+        rows: dict[int, dict[int, int]] = {}
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):
                 left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if left is not None and right is not None:
-                    pairs[left, right] = rank
-        for attempt in range(100):
-            self.factors = tuple((2 * (attempt * 7919 + k * 104729 + 523987) + 1) for k in range(4))
-            self.table = self._placed(pairs)
-            if self.table is not None:
-                break
-        else:
-            raise ValueError("the pairs cannot be placed")
+                    rows.setdefault(left, {})[right] = rank
+        room = 2 * self.NONE + 4 * sum(map(len, rows.values()))
+        free = (1 << room) - 1  # a bit for each place
+        self.offsets, table = [0] * (max(ranks.values()) + 1), {}
+        for left in sorted(rows, key=lambda k: (-len(rows[k]), k)):
+            fits, here = free, 0
+            for right in rows[left]:
+                fits &= free >> right
+                here |= 1 << right
+            offset = (fits & -fits).bit_length() - 1
+            free &= ~(here << offset)
+            self.offsets[left] = offset
+            for right, rank in rows[left].items():
+                table[offset + right] = left << 16 | rank
+        self.table = [table.get(k, self.EMPTY) for k in range(max(table, default=0) + 1)]
         self.first = [ranks[bytes([b])] for b in range(256)]
 
-    def _at(self, which: int, left, right):
-        a, b = self.factors[2 * which : 2 * which + 2]
-        return ((left * a + right * b) >> self.SHIFT) & (self.SIZE - 1)
-
-    def _placed(self, pairs: dict) -> list[int] | None:
-        table: list[int] = [self.EMPTY] * self.SIZE
-        for (left, right), rank in pairs.items():
-            entry, which = ((left << 16 | right) << 16) | rank, 0
-            for _ in range(500):
-                key = entry >> 16
-                at = self._at(which, key >> 16, key & 0xFFFF)
-                entry, table[at] = table[at], entry
-                if entry == self.EMPTY:
-                    break
-                # what stood here goes to its other place
-                key = entry >> 16
-                which = 1 if self._at(0, key >> 16, key & 0xFFFF) == at else 0
-            else:
-                return None
-        return table
-
-    def get(self, left: int, right: int) -> int | None:
-        key = left << 16 | right
-        for which in (0, 1):
-            entry = self.table[self._at(which, left, right)]
-            if entry >> 16 == key:
-                return entry & 0xFFFF
-        return None
-
-    def literals(self) -> tuple[Column, Column]:
-        """The table, and the ids of the 256 bytes, as array literals."""
-        listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-        return listed(self.table), listed(self.first)
-
-    def merged(self, table: Column, left: Column, right: Column) -> Column:
-        """The id that two neighbours merge into, or ``NONE``; null without a neighbour."""
-        key = F.shiftleft(F.shiftleft(left, 16).bitwiseOR(right), 16)
-        at = lambda x, y: F.shiftright(left * x + right * y, self.SHIFT).bitwiseAND(F.lit(self.SIZE - 1))
-        # an entry is key and rank side by side: where the key agrees, what differs is the rank
-        found = [F.get(table, at(x, y).cast("int")).bitwiseXOR(key) for x, y in (self.factors[:2], self.factors[2:])]
-        return F.least(*found, F.lit(self.NONE))
+    def literals(self) -> tuple[Column, Column, Column]:
+        """The table, the offsets and the ids of the 256 bytes, as array literals."""
+        listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(kind)
+        return listed(self.table, "array<bigint>"), listed(self.offsets, "array<int>"), listed(self.first, "array<bigint>")
+
+    def merged(self, table: Column, offsets: Column, left: Column, right: Column) -> Column:
+        """The id that two neighbours merge into, or a number of ``NONE`` or more; null where nothing stands."""
+        place = (F.get(offsets, left.cast("int")) + right).cast("int")
+        # an entry is left id and rank side by side: where the left id agrees, what differs is the rank
+        return F.get(table, place).bitwiseXOR(F.shiftleft(left, 16))
 
 
 def fold_merges(words: Column, ranks: RankMap) -> Column:
     """Ids of each word of an array (of binary): while a pair merges, the leftmost pair of least rank does."""
-    table, first = ranks.literals()
+    table, offsets, first = ranks.literals()
     # each literal stands once in the plan and is bound to a variable
-    return let(table, lambda t: let(first, lambda f: F.transform(words, lambda w: _fold(w, ranks, t, f))))
+    fold = lambda t, o, f: F.transform(words, lambda w: _fold(w, lambda x, y: ranks.merged(t, o, x, y), f))
+    return let(table, lambda t: let(offsets, lambda o: let(first, lambda f: fold(t, o, f))))
 
 
-def _fold(word: Column, ranks: RankMap, table: Column, first: Column) -> Column:
+def _fold(word: Column, merge, first: Column) -> Column:
     bits = 24  # of a place in a word; rank and place in one number, so the least number is the leftmost least rank
 
-    def step(ids: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        ids = state["ids"]
         rated = F.transform(
             ids,
-            lambda x, k: F.shiftleft(ranks.merged(table, x, F.get(ids, k + 1)), bits).bitwiseOR(k.cast("bigint")),
+            lambda x, k: F.shiftleft(merge(x, F.get(ids, k + 1)), bits).bitwiseOR(k.cast("bigint")),
         )
+        made = lambda ids, left: F.struct(ids.alias("ids"), F.lit(left).alias("left"))
 
         def put(least: Column) -> Column:
             place = least.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
             merged = lambda k: F.concat(
                 F.slice(ids, F.lit(1), k), F.array(F.shiftright(least, bits)), F.slice(ids, k + 3, F.size(ids))
             )
-            return F.when(least < F.lit(ranks.NONE << bits), let(place, merged)).otherwise(ids)
+            return F.when(least < F.lit(RankMap.NONE << bits), made(let(place, merged), True)).otherwise(made(ids, False))
 
-        return let(F.array_min(rated), put)  # the last id has no pair and rates null
+        # the last id has no pair and rates null; once no pair merges, the turns left do nothing
+        return F.when(state["left"], let(F.array_min(rated), put)).otherwise(state)
 
     # one character for each byte
     letters = F.split(F.decode(word, "ISO-8859-1"), "")
-    begun = F.transform(letters, lambda c: F.get(first, F.ascii(c)))
+    begun = F.struct(F.transform(letters, lambda c: F.get(first, F.ascii(c))).alias("ids"), F.lit(True).alias("left"))
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
     none = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step))
+    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step, lambda s: s["ids"]))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:

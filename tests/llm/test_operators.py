@@ -74,7 +74,7 @@ def test_mixing(spark, docs, none):
         taken[source[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= largest for s in order)
     mixed = mix(docs)
-    assert mixed.columns == ["doc_id", "text", "source", "n_chars", "training_position"]
+    assert mixed.columns == [*docs.columns, "training_position"]
     positions = [r["training_position"] for r in mixed.collect()]
     assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
     assert len(positions) == sum(len(r["positions"]) for r in got)
