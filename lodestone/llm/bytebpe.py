@@ -21,7 +21,8 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from contextlib import contextmanager
+from itertools import accumulate, chain, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,7 +239,23 @@ class Pieces:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, wanted, repeat(42)), np.uint64, len(wanted)).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         same = pc.equal(self.pieces.take(at), pa.array(wanted, pa.binary()))
-        return pc.if_else(same, self.ids.take(at), pa.scalar(None, pa.binary())).to_pylist()
+        ids = self.ids.take(at)
+        ends, packed = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1].tolist(), ids.buffers()[2].to_pybytes()
+        return [packed[a:b] if s else None for s, a, b in zip(same.to_pylist(), ends, ends[1:])]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles within: what is made there holds none, and the many small lists would set it off again and again."""
+    import gc
+
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 _KEPT: dict = {}
@@ -269,19 +286,26 @@ def _look_up(shared, ranks, pattern: str):
         import regex
 
         split = regex.compile(pattern).findall
-        pieces, known, before = _once(name, lambda: (Pieces(*shared.value), {}, {}))
+        # chunks that come again after they had gone are steady, and stay for long
+        pieces, known, before, steady = _once(name, lambda: (Pieces(*shared.value), {}, {}, {}))
 
         def learn(fresh: list[str]) -> dict[str, list]:
-            """For each chunk its parts: packed ids, or the bytes of a piece to fold."""
+            """Adds the chunks to ``known``; of those with a piece to fold, gives the parts: packed ids, or the piece's bytes."""
             parts = [split_chunk(c, split) for c in fresh]
-            wanted = list({p: None for x in parts for p in x})
-            raw = [p.encode("utf-8", "surrogatepass") for p in wanted]
-            got = {}
-            for piece, b, ids in zip(wanted, raw, pieces.get(raw)):
+            wanted = list(dict.fromkeys(chain.from_iterable(parts)))
+            raw = list(map(str.encode, wanted))
+            found = pieces.get(raw)
+            for k, (ids, b) in enumerate(zip(found, raw)):
                 if ids is None and len(b) > HEAPED:
-                    ids = np.array(heap_merges(b, ranks.value), "<u2").tobytes()
-                got[piece] = (ids, b)
-            return {c: [got[p] for p in x] for c, x in zip(fresh, parts)}
+                    found[k] = np.array(heap_merges(b, ranks.value), "<u2").tobytes()
+            got, spelled, holed = dict(zip(wanted, found)), dict(zip(wanted, raw)), {}
+            for c, x in zip(fresh, parts):
+                ids = list(map(got.__getitem__, x))
+                if None in ids:
+                    holed[c] = [(i, spelled[p]) for i, p in zip(ids, x)]
+                else:
+                    known[c] = ids[0] if len(ids) == 1 else b"".join(ids)
+            return holed
 
         def rows_of(texts: list[str]) -> Iterator[tuple]:
             cut_up = [chunks(t) for t in texts]
@@ -289,6 +313,9 @@ def _look_up(shared, ranks, pattern: str):
                 before.clear()
                 before.update(known)
                 known.clear()
+                if len(steady) >= REMEMBERED // 2:
+                    steady.clear()
+                known.update(steady)
             got = [list(map(known.get, x)) for x in cut_up]
             lacking, fresh = [], set()
             for x, found in zip(cut_up, got):
@@ -298,16 +325,10 @@ def _look_up(shared, ranks, pattern: str):
                     at.append(k)
                     fresh.add(x[k])
                 lacking.append(at)
-            again = [c for c in fresh if c in before]
-            known.update(zip(again, map(before.__getitem__, again)))
-            fresh.difference_update(again)
-            holed = {}
-            for chunk, parts in learn(list(fresh)).items():
-                ids = [p for p, _ in parts]
-                if None in ids:
-                    holed[chunk] = parts
-                else:
-                    known[chunk] = b"".join(ids)
+            again = {c: before[c] for c in fresh if c in before}
+            known.update(again)
+            steady.update(again)
+            holed = learn(list(fresh.difference(again)))
             for x, found, at in zip(cut_up, got, lacking):
                 places, which, rare, holes = [], [], {}, []
                 for k in at:
@@ -327,13 +348,14 @@ def _look_up(shared, ranks, pattern: str):
                 yield b"".join(found), places, which, list(rare)
 
         rows, texts, size = [], [], 0
-        for t in batch:
-            texts.append(t.as_py() or "")
-            size += len(texts[-1])
-            if size >= AT_ONCE:
-                rows += rows_of(texts)
-                texts, size = [], 0
-        rows += rows_of(texts)
+        with uncollected():
+            for t in batch:
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size >= AT_ONCE:
+                    rows += rows_of(texts)
+                    texts, size = [], 0
+            rows += rows_of(texts)
         found, places, which, rare = zip(*rows) if rows else ((), (), (), ())
         return [
             pa.array(found, pa.binary()),
