@@ -13,14 +13,15 @@ follows; what follows is weighed by its own counts, which lean on those of the s
 its stem's weight and a harmless one among them gets none.
 
 Counts cover all training documents.  The transducer is broadcast: a beginning must occur in ``LEAST_SHARE`` of the toxic
-groups, which bounds their number whatever the size of the corpus.  The logistic weights come from sums over all training rows, one
-aggregate for each Newton step.
+groups, which bounds their number whatever the size of the corpus.  The
+logistic weights come from sums over all training rows, one aggregate for each Newton step.
 
 Defined results
 * null or empty text: no clauses, no words; it gets the score of a document without a match;
 * very long texts are read whole; ties do not matter; repeated rows are scored each, and count once in the learning;
 * a null doc_id is held out as the text "" is, and has no label; a doc_id labelled twice is toxic if any of its labels says so;
-* no labelled training documents, or labels of one kind only: nothing is an insult, and the score is the smoothed share of toxic labels;
+* no labelled training documents, or labels of one kind only: nothing is an insult, and the score is the share of toxic labels,
+  as if one of four more were toxic;
 * an empty table gives no rows; other columns, ``lang`` and ``source`` among them, are not read.
 """
 
@@ -379,7 +380,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         z = sum((w * x for w, x in zip(fit(rows, len(seen)), seen)), F.lit(0.0))
         chance = 1 / (1 + F.exp(-z))
     else:
-        chance = F.lit((counted[1] + 1) / (counted[0] + 2))
+        chance = F.lit((counted[1] + 1) / (counted[0] + 4))
     marked = F.transform(
         "read.clauses",
         lambda c: F.struct(
