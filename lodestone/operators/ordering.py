@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import curves
 from lodestone.functions.ranking import with_row_number
+from lodestone.functions.store import cut
 from lodestone.operators import allocation, linalg, refine, robust
 from lodestone.schema import OrderingError
 
@@ -27,8 +28,8 @@ ESTIMATORS = ("det_mcd", "ogk", "mrcd")
 RULES = ("uniform", "sample_count", "monotone_half", "occupancy", "occupancy_floor10", "frame_core", "hybrid")
 #: Other names of methods.
 ALIASES = {"z_order": "morton", "isotropic_hilbert": "hilbert", "pca": "pca_hilbert", "robust": "robust_hilbert"}
-#: Points up to which the iterative robust estimators run, on the driver's copy of the cloud; more are refused.
-LOCAL_FIT = 2_000_000
+#: Points that are gathered to fit a frame: a bound on what the driver holds.
+GATHERED = 50_000
 
 
 @dataclass(frozen=True)
@@ -105,18 +106,22 @@ def checked(cloud: DataFrame) -> tuple[DataFrame, dict]:
 def fit(cloud: DataFrame, facts: dict, config: OrderingConfig) -> dict:
     """Centre and frame of the framed methods.
 
-    The orthogonalized estimator needs medians only and runs as aggregates on a cloud of any size; the iterative
-    ones take the cloud's points to one place and refuse more than ``LOCAL_FIT``: no other estimator stands in.
+    A cloud of at most ``GATHERED`` points is fitted in one place; a larger one by aggregates, whatever its size, of which
+    only moments and counts come to the driver.  Both give the same frame.
     """
     if config.name == "pca_hilbert":
         found = {"center": facts["mean"], "scatter": facts["cov"], "policy": "none"}
-    elif config.estimator == "ogk":
-        found = ogk_big(cloud)
-    elif facts["n"] > LOCAL_FIT:
-        raise OrderingError("unsupported_method", f"{config.estimator} fits up to {LOCAL_FIT} points; choose ogk")
     else:
-        points = cloud.orderBy("raw_index").select("x", "y", "z").toPandas().to_numpy()
-        found = {"det_mcd": robust.det_mcd, "mrcd": robust.mrcd}[config.estimator](points)
+        points = cloud.select("x", "y", "z") if facts["n"] <= GATHERED else stored_points(cloud)
+        if facts["n"] <= GATHERED:
+            fits = {"det_mcd": robust.det_mcd, "mrcd": robust.mrcd, "ogk": robust.ogk}
+            found = fits[config.estimator](np.array([list(r) for r in points.collect()], float).reshape(-1, 3))
+        elif config.estimator == "ogk":
+            found = ogk_big(points, facts["n"])
+        elif config.estimator == "mrcd":
+            found = robust.mrcd_big(points, facts["n"])
+        else:
+            found = robust.det_mcd_big(points, facts["n"], facts["cov"])
     found["fallback"] = found["policy"].startswith("disabled")
     if found["fallback"]:
         found |= {"center": facts["mean"], "scatter": facts["cov"]}
@@ -124,26 +129,33 @@ def fit(cloud: DataFrame, facts: dict, config: OrderingConfig) -> dict:
     return found | {"axes": axes, "spread": spread, "half": half, "canonical": canonical}
 
 
-def ogk_big(cloud: DataFrame) -> dict:
-    """The orthogonalized estimator over a whole cloud: medians by aggregates, a few numbers to the driver."""
+def stored_points(cloud: DataFrame) -> DataFrame:
+    """The coordinates alone, written once: the rounds of an estimator read them again and again."""
+    return cut(cloud.select("x", "y", "z"), "points")
+
+
+def ogk_big(cloud: DataFrame, n: int) -> dict:
+    """The orthogonalized estimator over a whole cloud: exact medians by counting rounds, a few numbers to the driver."""
+    if n < 2:
+        return {"policy": "disabled_small_n"}
     axes = ("x", "y", "z")
-    row = robust.axis_medians(cloud, *axes).first()
-    scales = [row[f"sv{k}"] for k in range(3)]
-    if any(s is None or not s > robust.SCALE_FLOOR for s in scales):
+    got = robust.axis_medians(cloud, *axes, n=n)
+    scales = [got[f"sv{k}"] for k in range(3)]
+    if any(not s > robust.SCALE_FLOOR for s in scales):
         return {"policy": "disabled_rank_deficient"}
     z = [F.col(a) / s for a, s in zip(axes, scales)]
     pairs = [(0, 1), (0, 2), (1, 2)]
-    row = robust.axis_medians(cloud, *(z[a] + z[b] for a, b in pairs), *(z[a] - z[b] for a, b in pairs)).first()
+    got = robust.axis_medians(cloud, *(z[a] + z[b] for a, b in pairs), *(z[a] - z[b] for a, b in pairs), n=n)
     pairwise = np.eye(3)
     for k, (a, b) in enumerate(pairs):
-        up, down = (s if s > robust.SCALE_FLOOR else 0.0 for s in (row[f"sv{k}"], row[f"sv{k + 3}"]))
+        up, down = (s if s > robust.SCALE_FLOOR else 0.0 for s in (got[f"sv{k}"], got[f"sv{k + 3}"]))
         pairwise[a, b] = pairwise[b, a] = min(max((up * up - down * down) / 4, -0.999), 0.999)
     _, turn, done = linalg.jacobi_eigen(pairwise)
     if not done:
         return {"policy": "disabled_rank_deficient"}
-    row = robust.axis_medians(cloud, *(sum(z[a] * float(turn[a, k]) for a in range(3)) for k in range(3))).first()
-    center = np.array(scales) * (turn @ np.array([row[f"mv{k}"] for k in range(3)]))
-    spread = [row[f"sv{k}"] if row[f"sv{k}"] > robust.SCALE_FLOOR else 0.0 for k in range(3)]
+    got = robust.axis_medians(cloud, *(sum(z[a] * float(turn[a, k]) for a in range(3)) for k in range(3)), n=n)
+    center = np.array(scales) * (turn @ np.array([got[f"mv{k}"] for k in range(3)]))
+    spread = [got[f"sv{k}"] if got[f"sv{k}"] > robust.SCALE_FLOOR else 0.0 for k in range(3)]
     scatter = np.outer(scales, scales) * (turn @ np.diag(np.square(spread)) @ turn.T)
     scatter, ridge = linalg.regularized(scatter, 1e-12)
     return {"center": center, "scatter": scatter, "policy": "chi2_regularized" if ridge else "none"}

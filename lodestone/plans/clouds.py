@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.ranking import with_row_number
+from lodestone.functions.store import stored
 
 LINEITEM = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -17,11 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quantity, price and discount of every line; the index follows all columns, which make rows distinct."""
-    rows = with_row_number(table(spark, sf_dir, "lineitem").select(*LINEITEM), list(LINEITEM), "raw_index")
-    return rows.select(
-        "raw_index",
+def _points(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.select(
+        *more,
         F.col("l_quantity").alias("x"),
         F.col("l_extendedprice").alias("y"),
         F.col("l_discount").alias("z"),
@@ -30,12 +29,27 @@ def lineitem_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quantity, price and discount of every line, unnumbered: for what does not read the index."""
+    return _points(table(spark, sf_dir, "lineitem"))
+
+
+def lineitem_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`lineitem_points` with an index that follows all columns, which make rows distinct.
+
+    Rows are numbered once in a session and kept in the shared folder, for as long as the table's files stay as they are.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    number = lambda: _points(with_row_number(lines.select(*LINEITEM), list(LINEITEM), "raw_index"), "raw_index")
+    return stored(("lineitem_cloud", sf_dir), lines, number, "lineitem-cloud")
+
+
 def embed_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda k: F.col("embedding")[k].cast("double")
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), F.col("label").alias("cloud_id")
     )
-    return with_row_number(rows, ["vec_id"], "raw_index").drop("vec_id")
+    return stored(("embed_cloud", sf_dir), table(spark, sf_dir, "embeddings"), lambda: with_row_number(rows, ["vec_id"], "raw_index").drop("vec_id"), "embed-cloud")
 
 
 def events_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +58,7 @@ def events_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", at.alias("x"), F.col("user_id").cast("double").alias("y"), F.col("value").alias("z"),
         F.col("event_type").alias("cloud_id"),
     )
-    return with_row_number(rows, ["event_id"], "raw_index").drop("event_id")
+    return stored(("events_cloud", sf_dir), table(spark, sf_dir, "events"), lambda: with_row_number(rows, ["event_id"], "raw_index").drop("event_id"), "events-cloud")
 
 
 CLOUD_SQL = f"""

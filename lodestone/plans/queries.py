@@ -12,7 +12,7 @@ from lodestone.operators import layout, metrics, ordering, robust, stats
 from lodestone.operators.ordering import OrderingConfig, keyed, order_cloud
 from lodestone.plans.clouds import (
     BOX_SQL, CLOUD_SQL, EMBED_SQL, EVENTS_SQL, ORDER_SQL, cells_sql, embed_cloud, events_cloud, hilbert_sql,
-    lineitem_cloud, morton_sql, table,
+    lineitem_cloud, lineitem_points, morton_sql, table,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def _one_row(spark: SparkSession, values: dict) -> DataFrame:
+    kinds = {int: "long", float: "double"}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Every double rounded, so that sums in another order compare equal."""
     return df.select(*(_r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -56,7 +61,7 @@ COMP = f"{WITH}, {cells_sql(HALF)}, {hilbert_sql(HALF)}, {ORDER_SQL}"
 @query(f"""{WITH} SELECT n, lx, hx, ly, hy, lz, hz, (hx - lx) / 2 AS half_x, (hy - ly) / 2 AS half_y,
  (hz - lz) / 2 AS half_z FROM box""")
 def cloud_bounds(spark, sf):
-    cloud = lineitem_cloud(spark, sf)
+    cloud = lineitem_points(spark, sf)
     b = cloud.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("l", F.min), ("h", F.max))))
     return b.select("*", *(((F.col(f"h{c}") - F.col(f"l{c}")) / 2).alias(f"half_{c}") for c in "xyz"))
 
@@ -347,9 +352,9 @@ K = robust.MAD_FACTOR
  round(median(abs(x - mx)) * {K}, 6) AS sx, round(median(abs(y - my)) * {K}, 6) AS sy,
  round(median(abs(z - mz)) * {K}, 6) AS sz FROM cloud, m""")
 def median_mad(spark, sf):
-    row = robust.axis_medians(lineitem_cloud(spark, sf), "x", "y", "z")
+    got = robust.axis_medians(lineitem_points(spark, sf), "x", "y", "z")
     names = {f"{p}v{k}": f"{p}{c}" for p in "ms" for k, c in enumerate("xyz")}
-    return _named(row.select(*(F.col(a).alias(b) for a, b in names.items())))
+    return _named(_one_row(spark, {b: got[a] for a, b in names.items()}))
 
 
 PILOT = f"""m AS (SELECT quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my, quantile_disc(z, 0.5) AS mz FROM cloud),
@@ -361,7 +366,7 @@ PILOT = f"""m AS (SELECT quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS m
  + (z - mz) ** 2) / scale > 5.2) AS far FROM cloud, m, s) SELECT n, far, round(far / n, 6) AS share,
  round(least(greatest(1 - 1.5 * (far / n), 0.5), 0.9), 6) AS alpha, round(scale, 6) AS scale, mx, my, mz FROM c, m, s""")
 def pilot_alpha(spark, sf):
-    row = robust.pilot_far_points(lineitem_cloud(spark, sf))
+    row = _one_row(spark, robust.pilot_far_points(lineitem_points(spark, sf)))
     alpha = F.least(F.greatest(1 - 1.5 * F.col("share"), F.lit(0.5)), F.lit(0.9))
     return row.select("n", "far", _r("share").alias("share"), _r(alpha).alias("alpha"), _r("scale").alias("scale"), "mx", "my", "mz")
 
@@ -369,7 +374,7 @@ def pilot_alpha(spark, sf):
 @query(f"""WITH {CLOUD_SQL} SELECT {", ".join(f"round(covar_samp({a}, {b}), 4) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))},
  {", ".join(f"round(avg({a}), 9) AS m{a}" for a in "xyz")} FROM cloud""")
 def sample_cov(spark, sf):
-    return lineitem_cloud(spark, sf).agg(
+    return lineitem_points(spark, sf).agg(
         *(_r(F.covar_samp(a, b), 4).alias(f"c{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")),
         *(_r(F.avg(a), 9).alias(f"m{a}") for a in "xyz"),
     )
@@ -396,7 +401,7 @@ def _mid_ranks(cloud: DataFrame) -> DataFrame:
 @query(f"""WITH {CLOUD_SQL}, r AS (SELECT cloud_id, {", ".join(f"rank() OVER (PARTITION BY cloud_id ORDER BY {c}) + (count(*) OVER (PARTITION BY cloud_id, {c}) - 1) / 2.0::DOUBLE AS r{c}" for c in "xyz")} FROM cloud)
  SELECT cloud_id, round(corr(rx, ry), 6) AS xy, round(corr(rx, rz), 6) AS xz, round(corr(ry, rz), 6) AS yz FROM r GROUP BY 1""")
 def spearman_start(spark, sf):
-    ranks = _mid_ranks(lineitem_cloud(spark, sf).select("cloud_id", "x", "y", "z"))
+    ranks = _mid_ranks(lineitem_points(spark, sf).select("cloud_id", "x", "y", "z"))
     return ranks.groupBy("cloud_id").agg(*(_r(F.corr(f"r{a}", f"r{b}")).alias(a + b) for a, b in ("xy", "xz", "yz")))
 
 
@@ -411,13 +416,13 @@ def _mad_sql(v: str, name: str) -> str:
  SELECT {", ".join(f"round((u{p}.s * u{p}.s - d{p}.s * d{p}.s) / 4, 6) AS {p}" for p in ("xy", "xz", "yz"))}
  FROM {", ".join(f"u{p}, d{p}" for p in ("xy", "xz", "yz"))}""")
 def gk_pairwise(spark, sf):
-    cloud = lineitem_cloud(spark, sf)
-    row = robust.axis_medians(cloud, "x", "y", "z").first()
+    cloud = lineitem_points(spark, sf)
+    n = cloud.count()
+    row = robust.axis_medians(cloud, "x", "y", "z", n=n)
     z = {c: F.col(c) / row[f"sv{k}"] for k, c in enumerate("xyz")}
     pairs = ("xy", "xz", "yz")
-    spread = robust.axis_medians(cloud, *(z[a] + z[b] for a, b in pairs), *(z[a] - z[b] for a, b in pairs))
-    square = lambda k: F.col(f"sv{k}") * F.col(f"sv{k}")
-    return spread.select(*(_r((square(k) - square(k + 3)) / 4).alias(p) for k, p in enumerate(pairs)))
+    spread = robust.axis_medians(cloud, *(z[a] + z[b] for a, b in pairs), *(z[a] - z[b] for a, b in pairs), n=n)
+    return _named(_one_row(spark, {p: (spread[f"sv{k}"] ** 2 - spread[f"sv{k + 3}"] ** 2) / 4 for k, p in enumerate(pairs)}))
 
 
 @query()

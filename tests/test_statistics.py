@@ -21,17 +21,6 @@ def test_signed_rank_is_one_sided():
     assert signed_rank_p(lower) == 1 / 8 and signed_rank_p(higher) == 1
 
 
-def test_iterative_fits_are_refused_beyond_their_bound(spark, monkeypatch):
-    from lodestone.operators import ordering
-    from lodestone.schema import OrderingError
-
-    cloud = spark.createDataFrame([("c", k, float(k), float(k * k % 7), float(k % 5)) for k in range(40)],
-                                  "cloud_id string, raw_index long, x double, y double, z double")
-    monkeypatch.setattr(ordering, "LOCAL_FIT", 10)
-    with pytest.raises(OrderingError, match="choose ogk"):
-        ordering.order_cloud(cloud, ordering.OrderingConfig(method="robust_hilbert", estimator="det_mcd"))
-
-
 def test_the_only_ply_of_an_archive(spark, tmp_path):
     from lodestone.sources.readers import read_cloud
 
