@@ -91,6 +91,18 @@ def over_arrays(run, schema: str, *columns: Column) -> Column:
     return arrow_udf(run, schema)(*columns)
 
 
+def give_back() -> None:
+    """Return to the system what a worker has freed: Arrow's pool and the C library keep it otherwise, and workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once; an expression within a lambda is not shared otherwise."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, columns_of, cut, unique
+from lodestone.llm.common import WORD, columns_of, cut, give_back, unique
 from lodestone.llm.components import connected_components
 
 #: Bands and rows of a signature; words in a shingle; least similarity in percent.
@@ -166,6 +166,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 names=["row", "doc_id", "name", "n_shingles", "node", "buckets"],
             )
             row += len(batch)
+            del batch, found, buckets
+            give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"row long, doc_id {kind}, name binary, n_shingles long, node binary, buckets array<long>"

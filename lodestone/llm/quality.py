@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import columns_of, cut, over_arrays, unique
+from lodestone.llm.common import columns_of, cut, give_back, over_arrays, unique
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -100,6 +100,8 @@ def signals(text: Column) -> Column:
             rows = [text_signals(t.as_py()) for t in texts]
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            del texts, rows, columns
+            give_back()
 
     return over_arrays(run, SIGNALS, text)
 
