@@ -36,7 +36,7 @@ from lodestone.llm.wordpiece import split_chunk
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Encoded chunks a worker remembers before it starts anew: bounds its memory.
-REMEMBERED, REMEMBERED_CHARS = 3 << 18, 64
+REMEMBERED, REMEMBERED_CHARS = 1 << 19, 64
 
 #: The splitting pattern of byte-level tokenizers.  Fixed value.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,6 +122,18 @@ class Encoder:
         return (self._known(self.chunks, [first], False) if first else b"") + self._known(self.parts, parts, True)
 
 
+#: The encoder of a worker, which goes on from task to task with what it remembers.
+_kept: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(tokenizer_json: str, added: bool) -> Encoder:
+    key = zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), added
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(tokenizer_json, added)
+    return _kept[key]
+
+
 class FrameWriter:
     """Writes frames to a binary file and, at the end, the seek table."""
 
@@ -225,7 +237,7 @@ def write_token_files(
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 if out is None:
-                    encoder = Encoder(shared.value, added)
+                    encoder = worker_encoder(shared.value, added)
                     end = end_id.to_bytes(encoder.width, "little")
                     uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     store, path = FileSystem.from_uri(uri)
