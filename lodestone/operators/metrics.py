@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.store import cut
+from lodestone.operators.neighbours import nearest
+
 
 def distance(a: str, b: str) -> Column:
     """Distance of two points given as struct columns or aliases."""
@@ -99,43 +102,7 @@ def l1_by_bands(ordered: DataFrame, first: int = 64) -> float:
     return best
 
 
-def nearest(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """(raw_index, neighbour, nth): the k nearest other points, ties by index.
-
-    With a cell side, points meet only within the 27 cells around them, which is exact where the k-th
-    distance found is within the side; the others are searched in full.
-    """
-    p = points.select("raw_index", "x", "y", "z")
-    order = Window.partitionBy("raw_index").orderBy("d2", "neighbour")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        d2 = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in ("x", "y", "z"))
-        rows = pairs.filter("a.raw_index <> b.raw_index").select(
-            F.col("a.raw_index").alias("raw_index"), F.col("b.raw_index").alias("neighbour"), d2.alias("d2")
-        )
-        return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
-
-    if cell is None:
-        return ranked(p.alias("a").join(p.alias("b"), F.lit(True))).drop("d2")
-    at = lambda c: F.floor(F.col(c) / cell)
-    home = p.select("*", *(at(c).alias(f"c{c}") for c in ("x", "y", "z")))
-    steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
-    around = home
-    for c in ("cx", "cy", "cz"):
-        around = around.withColumn("_step", F.explode(steps)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
-    near = ranked(
-        around.alias("a").join(home.alias("b"), [F.col(f"a.c{c}") == F.col(f"b.c{c}") for c in ("x", "y", "z")])
-    )
-    n = points.count()
-    done = near.groupBy("raw_index").agg(F.count("*").alias("found"), F.max("d2").alias("far"))
-    done = done.filter((F.col("found") == min(k, n - 1)) & (F.col("far") <= cell * cell)).select("raw_index")
-    rest = p.join(done, "raw_index", "left_anti")
-    return near.join(done, "raw_index").drop("d2").unionByName(
-        ranked(rest.alias("a").join(p.alias("b"), F.lit(True))).drop("d2")
-    )
-
-
-def recall_in_window(ordered: DataFrame, k: int = 8, window: int = 64, cell: float | None = None) -> DataFrame:
+def recall_in_window(ordered: DataFrame, k: int = 8, window: int = 64) -> DataFrame:
     """Mean share of a point's k nearest that lie within ``window`` / 2 ranks of it; 1 for a single point."""
     ranks = ordered.select("raw_index", "rank")
     n = ordered.count()
@@ -143,7 +110,7 @@ def recall_in_window(ordered: DataFrame, k: int = 8, window: int = 64, cell: flo
     if each < 1:
         return ordered.sparkSession.createDataFrame([(1.0,)], "recall double")
     found = (
-        nearest(ordered, k, cell)
+        nearest(ordered, k)
         .join(ranks, "raw_index")
         .join(ranks.toDF("neighbour", "other"), "neighbour")
         .filter(F.abs(F.col("rank") - F.col("other")) <= window // 2)
@@ -172,51 +139,101 @@ def kendall_tau(a: DataFrame, b: DataFrame, clean: int) -> DataFrame:
 
 
 def inversions(q: np.ndarray) -> int:
-    """Pairs out of order, by merging."""
-    if len(q) < 2:
+    """Pairs out of order, by merging sorted runs of doubling length."""
+    n = len(q)
+    if n < 2:
         return 0
-    m = len(q) // 2
-    left, right = np.sort(q[:m]), q[m:]
-    cross = int((m - np.searchsorted(left, right, side="right")).sum())
-    return inversions(q[:m]) + inversions(right) + cross
-
-
-def kendall_tau_big(a: DataFrame, b: DataFrame, clean: int, parts: int = 64) -> tuple[int, int]:
-    """(concordant, discordant) for orders of any size: ranges of the first rank against a histogram.
-
-    Each row is counted against the rows of earlier ranges through counts by second rank's range, and exactly
-    within the pairs of equal ranges by one task each.
+    q = np.unique(q, return_inverse=True)[1].astype(np.int64)  # equal values are in order
+    total, width, place = 0, 1, np.arange(n)
+    while width < n:
+        # sort each pair of runs at once: an element of the right run passes the greater ones of the left
+        order = np.lexsort((place % (2 * width) >= width, q, place // (2 * width)))
+        is_left = order % (2 * width) < width
+        block = order // (2 * width)
+        lefts = np.cumsum(is_left)
+        upto = np.concatenate([[0], lefts])[np.searchsorted(block, block, side="left")]  # lefts of earlier blocks
+        held = np.bincount(block[is_left], minlength=block[-1] + 1)[block]
+        total += int((held - (lefts - upto))[~is_left].sum())
+        q, width = q[order], 2 * width
+    return total
+
+
+#: Second ranks are told apart by so many bits in a round.
+DIGIT = 6
+
+
+def kendall_tau_big(a: DataFrame, b: DataFrame, clean: int) -> tuple[int, int]:
+    """(concordant, discordant) for orders of any size, by merging in rounds.
+
+    A round sorts rows by the leading bits of the second rank and, within them, by the first rank.  A task counts the
+    inversions of the runs of equal leading bits in its part.  Only the first and the last run of a part can go on in
+    another one: between such runs the counts of the next bits tell the inversions, and pairs that these bits do not
+    part are left to the next round, which holds no other rows.  Tasks stay as large as parts are; the driver holds two rows a part.
     """
+    import pyarrow as pa
+
     both = (
         a.select("raw_index", F.col("rank").alias("p"))
         .join(b.select("raw_index", F.col("rank").alias("q")), "raw_index")
         .filter(F.col("raw_index") < clean)
     )
-    n, top_p, top_q = both.agg(F.count("*"), F.max("p"), F.max("q")).first()
-    if not n:
-        return 0, 0
-    bucket = lambda c, top: F.least(F.expr(f"{c} * {parts} div {top + 1}"), F.lit(parts - 1))
-    grid = both.select("p", "q", bucket("p", top_p).alias("i"), bucket("q", top_q).alias("j"))
-    table = np.zeros((parts, parts), np.int64)
-    for r in grid.groupBy("i", "j").count().collect():  # parts * parts rows
-        table[r["i"], r["j"]] = r["count"]
-    after = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table  # rows of range i with a greater j
-    earlier = np.cumsum(after, axis=0) - after
-    down = int((table * earlier).sum())
-
-    def strip(column: str):
-        import pandas as pd
-
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("p")
-            if column == "i":  # all inversions within a range of the first rank
-                return pd.DataFrame({"n": [inversions(pdf["q"].to_numpy())]})
-            rows = [inversions(g["q"].to_numpy()) for _, g in pdf.groupby("i")]
-            return pd.DataFrame({"n": [inversions(pdf["q"].to_numpy()) - sum(rows)]})
-
-        return grid.groupBy(column).applyInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    down += strip("i") + strip("j")
+    left = cut(both.select("p", "q"), "rank-pairs")
+    n, top = left.agg(F.count("*"), F.coalesce(F.max("q"), F.lit(0))).first()
+    shift, down = int(top).bit_length(), 0
+    kind = "part int, prefix long, place int, whole long, apart long, counts array<long>"
+
+    def runs(lower: int, upper: int):
+        def count(batches):
+            from pyspark import TaskContext
+
+            got = [batch for batch in batches if len(batch)]
+            if not got:
+                return
+            table = pa.Table.from_batches(got)
+            q = table.column("q").to_numpy()
+            edges = np.flatnonzero(np.diff(q >> upper, prepend=-1, append=-1))
+            inner, shared = 0, []
+            for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+                run = q[x:y]
+                if 0 < k < len(edges) - 2:
+                    inner += inversions(run)
+                    continue
+                digit = (run >> lower) & ((1 << (upper - lower)) - 1)
+                shared.append((int(run[0] >> upper), k, inversions(run), inversions(digit), np.bincount(digit, minlength=1 << (upper - lower)).tolist()))
+            shared.append((-1, -1, inner, 0, []))
+            part = TaskContext.get().partitionId()
+            columns = [[part] * len(shared), *zip(*shared)]
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[x.split()[0] for x in kind.split(", ")])
+
+        return count
+
+    while shift:
+        lower, upper = max(shift - DIGIT, 0), shift
+        prefix = F.shiftright("q", upper)
+        parts = left.repartitionByRange(prefix, "p").sortWithinPartitions(prefix, "p")
+        by_prefix: dict[int, list] = {}
+        for r in sorted(parts.mapInArrow(runs(lower, upper), kind).collect(), key=lambda r: (r["part"], r["place"])):
+            if r["place"] < 0:
+                down += r["whole"]
+            else:
+                by_prefix.setdefault(r["prefix"], []).append(r)
+        again = []
+        for value, found in by_prefix.items():
+            if len(found) == 1:
+                down += found[0]["whole"]
+                continue
+            again.append(value)
+            seen = np.zeros(1 << (upper - lower), np.int64)
+            for r in found:
+                counts = np.array(r["counts"], np.int64)
+                greater = np.cumsum(seen[::-1])[::-1] - seen  # earlier rows of a greater digit
+                down += r["apart"] + int((greater * counts).sum())
+                seen += counts
+        if not again:
+            break
+        left = cut(left.filter(F.shiftright("q", upper).isin(again)), "rank-pairs")  # two for each part at most
+        shift = lower
     return n * (n - 1) // 2 - down, down
 
 

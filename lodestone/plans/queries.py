@@ -268,13 +268,13 @@ KNN = """near AS (SELECT a.raw_index, b.raw_index AS other, row_number() OVER (P
 
 @query(f"WITH {EMBED_SQL}, {KNN} SELECT raw_index, other AS neighbour, nth FROM near WHERE nth <= 8")
 def nearest_neighbours(spark, sf):
-    return metrics.nearest(embed_cloud(spark, sf), 8, cell=0.1).select("raw_index", "neighbour", F.col("nth").cast("long").alias("nth"))
+    return metrics.nearest(embed_cloud(spark, sf), 8).select("raw_index", "neighbour", F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"""{SMALL}, {KNN} SELECT round(count(*) / (8.0 * (SELECT count(*) FROM cloud)), 6) AS recall FROM near
  JOIN ordered a USING (raw_index) JOIN ordered b ON b.raw_index = other WHERE nth <= 8 AND abs(a.rank - b.rank) <= 32""")
 def recall_k_window(spark, sf):
-    return _named(metrics.recall_in_window(_small(spark, sf), 8, 64, cell=0.1))
+    return _named(metrics.recall_in_window(_small(spark, sf), 8, 64))
 
 
 LEX = "lex AS (SELECT raw_index, row_number() OVER (ORDER BY x, y, z, raw_index) - 1 AS q FROM cloud)"
