@@ -41,11 +41,16 @@ def fingerprint(df: DataFrame) -> tuple:
     return tuple(sorted(tuple(map(str, r)) for r in about.toLocalIterator()))
 
 
-def stored(key: tuple, source: DataFrame, make, what: str) -> DataFrame:
-    """What ``make()`` gives, written once in a session for each state of ``source``'s files."""
+def kept(key: tuple, source: DataFrame, make):
+    """What ``make()`` gives, made once in a session for each state of ``source``'s files."""
     spark = source.sparkSession
-    kept = spark.__dict__.setdefault("_lodestone_stored", {})
     at = (*key, shared_folder(spark), fingerprint(source))
-    if at not in kept:
-        kept[at] = cut(make(), what)
-    return kept[at]
+    made = spark.__dict__.setdefault("_lodestone_kept", {})
+    if at not in made:
+        made[at] = make()
+    return made[at]
+
+
+def stored(key: tuple, source: DataFrame, make, what: str) -> DataFrame:
+    """The table that ``make()`` gives, written once in a session for each state of ``source``'s files."""
+    return kept(key, source, lambda: cut(make(), what))

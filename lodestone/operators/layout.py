@@ -23,14 +23,21 @@ def with_pages(ordered: DataFrame, page: int = PAGE) -> DataFrame:
     return ordered.withColumn("page_id", F.expr(f"rank div {page}"))
 
 
-def page_directory(paged: DataFrame) -> DataFrame:
+def page_directory(paged: DataFrame, *more: Column) -> DataFrame:
+    """Box and number of points of every page, and what ``more`` says of it."""
     return paged.groupBy("page_id").agg(
         *(F.min(a).alias(f"min_{a}") for a in AXES),
         *(F.max(a).alias(f"max_{a}") for a in AXES),
         F.count("*").alias("valid_count"),
+        *more,
     )
 
 
+def page_checksum() -> Column:
+    """Combined hashes of a page's records: any changed, lost, repeated or added one changes it."""
+    return F.sum(F.xxhash64("rank", "raw_index", "key", *AXES).cast("decimal(38,0)")).alias("checksum")
+
+
 def _every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -89,9 +96,22 @@ def candidates(directory: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def pruned_query(paged: DataFrame, directory: DataFrame, windows: DataFrame) -> DataFrame:
-    """(query_id, raw_index) by candidate pages, each point checked exactly."""
-    found = candidates(directory, windows).alias("q")
-    return paged.join(found, "page_id").filter(contains()).select("query_id", "raw_index")
+    """(query_id, raw_index) by candidate pages, each point checked exactly.
+
+    Of a stored layout only the files are opened that hold a candidate page; within them row groups are skipped by page.
+    """
+    found = candidates(directory, windows)
+    if "file_id" in paged.columns:
+        pages = found.agg(F.collect_set(_file_of(F.col("page_id"), directory)), F.min("page_id"), F.max("page_id")).first()
+        files = sorted(pages[0])  # a number for each file that is needed
+        paged = paged.filter(F.col("file_id").isin(files) & F.col("page_id").between(pages[1] or 0, pages[2] if files else -1))
+    return paged.join(found.alias("q"), "page_id").filter(contains()).select("query_id", "raw_index")
+
+
+def _file_of(page: Column, directory: DataFrame) -> Column:
+    """The file of a page: the directory's pages carry how many of them a file holds."""
+    each = directory.select("pages_per_file").first()
+    return F.floor(page / F.lit(each[0] if each else 1)).cast("long")
 
 
 def query_counters(paged: DataFrame, directory: DataFrame, windows: DataFrame) -> DataFrame:
@@ -123,17 +143,31 @@ def directory_violations(paged: DataFrame, directory: DataFrame) -> DataFrame:
 
 
 def write_layout(ordered: DataFrame, path: str, pages_per_file: int = 8192) -> None:
-    """Points range-partitioned by page as Parquet, whose row groups carry narrow bounds, and the directory."""
-    paged = with_pages(ordered)
-    paged.repartitionByRange("page_id", "rank").sortWithinPartitions("rank").write.parquet(
+    """Points as Parquet, ``pages_per_file`` whole pages in each file, and their directory of boxes and checksums.
+
+    A file's pages are a folder of its own, so a reader that knows its pages opens no other file.
+    """
+    if pages_per_file < 1:
+        raise ValueError("a file has a page at least")
+    paged = with_pages(ordered).withColumn("file_id", F.expr(f"page_id div {pages_per_file}"))
+    paged.repartitionByRange("file_id").sortWithinPartitions("file_id", "rank").write.partitionBy("file_id").parquet(
         f"{path}/points", compression="zstd"
     )
-    stored = ordered.sparkSession.read.parquet(f"{path}/points")
-    page_directory(stored).sort("page_id").write.parquet(f"{path}/directory")
+    directory = page_directory(paged, page_checksum()).withColumn("pages_per_file", F.lit(pages_per_file).cast("long"))
+    directory.repartitionByRange("page_id").sortWithinPartitions("page_id").write.parquet(f"{path}/directory")
 
 
 def read_layout(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/directory")
+    kind = "rank long, raw_index long, key long, x double, y double, z double, page_id long, file_id long"
+    return spark.read.schema(kind).parquet(f"{path}/points"), spark.read.parquet(f"{path}/directory")
+
+
+def damaged_pages(points: DataFrame, directory: DataFrame) -> DataFrame:
+    """(page_id, stored, found): pages whose records, read back, differ from the directory in number, box or checksum."""
+    bounds = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+    facts = lambda d, name: d.select("page_id", F.struct("valid_count", "checksum", *bounds).alias(name))
+    both = facts(directory, "stored").join(facts(page_directory(points, page_checksum()), "found"), "page_id", "full_outer")
+    return both.filter(~F.col("stored").eqNullSafe(F.col("found")))
 
 
 def smoke_windows(points: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def inversions(q: np.ndarray) -> int:
 DIGIT = 6
 
 
-def kendall_tau_big(a: DataFrame, b: DataFrame, clean: int) -> tuple[int, int]:
+def kendall_tau_big(a: DataFrame, b: DataFrame, clean: int, parts: int | None = None) -> tuple[int, int]:
     """(concordant, discordant) for orders of any size, by merging in rounds.
 
     A round sorts rows by the leading bits of the second rank and, within them, by the first rank.  A task counts the
@@ -211,9 +211,10 @@ def kendall_tau_big(a: DataFrame, b: DataFrame, clean: int) -> tuple[int, int]:
     while shift:
         lower, upper = max(shift - DIGIT, 0), shift
         prefix = F.shiftright("q", upper)
-        parts = left.repartitionByRange(prefix, "p").sortWithinPartitions(prefix, "p")
+        dealt = left.repartitionByRange(prefix, "p") if parts is None else left.repartitionByRange(parts, prefix, "p")
+        dealt = dealt.sortWithinPartitions(prefix, "p")
         by_prefix: dict[int, list] = {}
-        for r in sorted(parts.mapInArrow(runs(lower, upper), kind).collect(), key=lambda r: (r["part"], r["place"])):
+        for r in sorted(dealt.mapInArrow(runs(lower, upper), kind).collect(), key=lambda r: (r["part"], r["place"])):
             if r["place"] < 0:
                 down += r["whole"]
             else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import curves
+from lodestone.functions.store import fresh_path, kept
 from lodestone.operators import layout, metrics, ordering, robust, stats
 from lodestone.operators.ordering import OrderingConfig, keyed, order_cloud
 from lodestone.plans.clouds import (
@@ -149,9 +150,21 @@ COUNTERS = f"""counters AS (SELECT w.query_id, coalesce(c.pages, 0) AS candidate
 
 
 def _store(spark, sf):
+    """The cloud, its points and directory as stored pages, and four windows; stored once in a session."""
     cloud = lineitem_cloud(spark, sf)
-    paged = layout.with_pages(order_cloud(cloud, HILBERT).ordered)
-    return cloud, paged, layout.page_directory(paged), layout.smoke_windows(cloud)
+    points, directory = stored_layout(cloud, sf)
+    return cloud, points, directory, layout.smoke_windows(cloud)
+
+
+def stored_layout(cloud: DataFrame, sf: str, pages_per_file: int = 512) -> tuple[DataFrame, DataFrame]:
+    spark = cloud.sparkSession
+
+    def write() -> str:
+        path = fresh_path(spark, "layout")
+        layout.write_layout(order_cloud(cloud, HILBERT).ordered, path, pages_per_file)
+        return path
+
+    return layout.read_layout(spark, kept(("layout", sf, pages_per_file), table(spark, sf, "lineitem"), write))
 
 
 @query(f"{HILB}, {PAGED}, {DIRECTORY} SELECT * FROM directory")
@@ -178,12 +191,16 @@ def window_counters(spark, sf):
 
 
 @query(f"""{STORE}, {COUNTERS} SELECT round(median((records_examined - result_count) / result_count), 6) AS median_overfetch,
- round(avg((records_examined - result_count) / result_count), 6) AS mean_overfetch FROM counters WHERE result_count > 0""")
+ round(avg((records_examined - result_count) / result_count), 6) AS mean_overfetch,
+ round(quantile_cont((records_examined - result_count) / result_count, 0.95), 6) AS p95_overfetch FROM counters WHERE result_count > 0""")
 def overfetch(spark, sf):
     _, paged, directory, windows = _store(spark, sf)
     over = (F.col("records_examined") - F.col("result_count")) / F.col("result_count")
     rows = layout.query_counters(paged, directory, windows).filter("result_count > 0")
-    return rows.agg(_r(F.median(over)).alias("median_overfetch"), _r(F.avg(over)).alias("mean_overfetch"))
+    return rows.agg(
+        _r(F.median(over)).alias("median_overfetch"), _r(F.avg(over)).alias("mean_overfetch"),
+        _r(F.percentile(over, 0.95)).alias("p95_overfetch"),
+    )
 
 
 @query(f"""{STORE}, {COUNTERS} SELECT round(1 - avg(pages_read) / (SELECT count(*) FROM directory), 6) AS pruned
@@ -195,6 +212,18 @@ def page_pruning(spark, sf):
     return rows.join(F.broadcast(pages)).select(_r(1 - F.col("read") / F.col("pages")).alias("pruned"))
 
 
+@query(f"""{STORE} SELECT count(*) AS pages, 0::BIGINT AS damaged, sum(valid_count)::BIGINT AS records,
+ count(DISTINCT page_id // 512) AS files FROM directory""")
+def stored_pages(spark, sf):
+    """The stored pages read back and held against their directory: number, box and checksum of each."""
+    _, points, directory, _ = _store(spark, sf)
+    damaged = layout.damaged_pages(points, directory).agg(F.count("*").alias("damaged"))
+    facts = points.agg(
+        F.countDistinct("page_id").alias("pages"), F.count("*").alias("records"), F.countDistinct("file_id").alias("files")
+    )
+    return facts.join(F.broadcast(damaged)).select("pages", "damaged", "records", "files")  # one row each
+
+
 @query("SELECT 0::BIGINT AS violations")
 def directory_check(spark, sf):
     _, paged, directory, _ = _store(spark, sf)
@@ -447,6 +476,12 @@ def robust_hilbert_order(spark, sf):
     return order_cloud(lineitem_cloud(spark, sf), OrderingConfig(estimator="ogk")).ordered
 
 
+@query()
+def det_mcd_hilbert_order(spark, sf):
+    """The default: six concentrated starts, as aggregates where the cloud is large."""
+    return order_cloud(lineitem_cloud(spark, sf), OrderingConfig()).ordered
+
+
 @query()
 def robust_morton_order(spark, sf):
     return order_cloud(lineitem_cloud(spark, sf), OrderingConfig(method="robust_morton", estimator="ogk", bits="hybrid")).ordered
@@ -465,3 +500,35 @@ def batch_orders(spark, sf):
 @query()
 def refined_orders(spark, sf):
     return ordering.order_clouds(embed_cloud(spark, sf), OrderingConfig(method="hilbert", bits="uniform", refinement="all"))
+
+
+ASKED = """asked AS (SELECT 'w' || lpad(i::VARCHAR, 4, '0') AS query_id, CASE i % 3 WHEN 0 THEN 0.015625 WHEN 1 THEN 0.0625 ELSE 0.25 END AS share, raw_index
+  FROM range(256) t(i), box, cloud WHERE raw_index = (i * n) // 256),
+ windows AS (SELECT query_id, x - share * (hx - lx) AS min_x, y - share * (hy - ly) AS min_y, z - share * (hz - lz) AS min_z,
+  x + share * (hx - lx) AS max_x, y + share * (hy - ly) AS max_y, z + share * (hz - lz) AS max_z FROM asked JOIN cloud USING (raw_index), box)"""
+
+
+def _asked(cloud: DataFrame) -> DataFrame:
+    """256 windows around evenly spread points, of three sizes in turn."""
+    box = cloud.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("l", F.min), ("h", F.max))))
+    n = box.first()["n"]
+    chosen = cloud.sparkSession.range(256).select(F.col("id").alias("i"), F.expr(f"id * {n} div 256").alias("raw_index"))
+    share = F.when(F.col("i") % 3 == 0, 0.015625).when(F.col("i") % 3 == 1, 0.0625).otherwise(0.25)
+    rows = cloud.join(F.broadcast(chosen), "raw_index").join(F.broadcast(box))  # 256 rows and one
+    edge = lambda c, sign: (F.col(c) + sign * share * (F.col(f"h{c}") - F.col(f"l{c}")))
+    sides = [edge(c, s).alias(f"{k}_{c}") for k, s in (("min", -1), ("max", 1)) for c in "xyz"]
+    return rows.select(F.format_string("w%04d", "i").alias("query_id"), *sides)
+
+
+@query(f"""WITH {CLOUD_SQL}, {BOX_SQL}, {ASKED}, hits AS (SELECT q.query_id, count(*) AS c FROM cloud p JOIN windows q ON {INSIDE} GROUP BY 1)
+ SELECT query_id, coalesce(c, 0) AS result_count, true AS oracle_match FROM windows LEFT JOIN hits USING (query_id)""")
+def frozen_workflow(spark, sf):
+    """A workload frozen with the digests of a full scan, written, read back, and answered from stored pages."""
+    from lodestone.plans import workload
+
+    cloud = lineitem_cloud(spark, sf)
+    windows = _asked(cloud)
+    path = fresh_path(spark, "frozen")
+    workload.write_frozen(windows, workload.result_digests(layout.full_scan(cloud, windows), windows), path)
+    done = workload.answered(stored_layout(cloud, sf), workload.read_frozen(spark, path))
+    return done.select("query_id", "result_count", "oracle_match")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import layout
+from lodestone.schema import WINDOWS
 
 #: Windows of a block; larger workloads are more blocks, so a smaller one is their start.
 BLOCK = 256
@@ -38,12 +39,12 @@ def result_digests(matches: DataFrame, windows: DataFrame) -> DataFrame:
 
 def write_frozen(windows: DataFrame, digests: DataFrame, path: str) -> None:
     """query_id, six bounds, expected count and digest, tab-separated."""
-    windows.join(digests, "query_id").orderBy("query_id").coalesce(1).write.csv(path, sep="\t", header=True)
+    columns = [c.split()[0] for c in WINDOWS.split(", ")]
+    rows = windows.select(*columns).join(digests, "query_id").select(*columns, "result_count", "ids_sha256")
+    rows.orderBy("query_id").coalesce(1).write.csv(path, sep="\t", header=True)
 
 
 def read_frozen(spark: SparkSession, path: str) -> DataFrame:
-    from lodestone.schema import WINDOWS
-
     schema = f"{WINDOWS}, result_count long, ids_sha256 string"
     rows = spark.read.csv(path, schema=schema, sep="\t", header=True, enforceSchema=False, mode="FAILFAST")
     if not rows.filter("query_id is null or not query_id rlike '^[A-Za-z0-9_.-]+$' or result_count < 0").isEmpty():
@@ -51,11 +52,16 @@ def read_frozen(spark: SparkSession, path: str) -> DataFrame:
     return layout.checked_windows(rows)
 
 
-def run_workflow(ordered: DataFrame, frozen: DataFrame, path: str) -> DataFrame:
-    """Store an order, answer a frozen workload from the stored pages, and compare with what it expects."""
-    layout.write_layout(ordered, path)
-    points, directory = layout.read_layout(ordered.sparkSession, path)
+def answered(stored: tuple[DataFrame, DataFrame], frozen: DataFrame) -> DataFrame:
+    """A frozen workload answered from stored pages and compared with what it expects."""
+    points, directory = stored
     windows = frozen.drop("result_count", "ids_sha256")
     got = result_digests(layout.pruned_query(points, directory, windows), windows)
     want = frozen.select("query_id", F.col("result_count").alias("n"), F.col("ids_sha256").alias("digest"))
     return got.join(want, "query_id").withColumn("oracle_match", F.expr("result_count = n and ids_sha256 = digest"))
+
+
+def run_workflow(ordered: DataFrame, frozen: DataFrame, path: str, pages_per_file: int = 8192) -> DataFrame:
+    """Store an order and answer a frozen workload from it."""
+    layout.write_layout(ordered, path, pages_per_file)
+    return answered(layout.read_layout(ordered.sparkSession, path), frozen)
