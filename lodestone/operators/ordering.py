@@ -240,13 +240,14 @@ def keyed(cloud: DataFrame, config: OrderingConfig) -> tuple[DataFrame, dict]:
 def order_cloud(cloud: DataFrame, config: OrderingConfig | None = None) -> OrderedCloud:
     """Order one cloud (raw_index, x, y, z) of any size."""
     config = config or OrderingConfig()
-    if config.refinement != "off":
-        raise OrderingError("unsupported_method", "refinement is sequential: order in batch mode")
     cells, about = keyed(cloud, config)
     if config.name == "input":
         return OrderedCloud(cells.select(F.col("raw_index").alias("rank"), "raw_index", "key", "x", "y", "z"), about)
     ranked = with_row_number(cells, ["key", "x", "y", "z", "raw_index"], "rank")
-    return OrderedCloud(ranked.select("rank", "raw_index", "key", "x", "y", "z"), about)
+    ordered = ranked.select("rank", "raw_index", "key", "x", "y", "z")
+    if config.refinement != "off":
+        ordered = refine.refine_big(ordered, about["n"])
+    return OrderedCloud(ordered, about)
 
 
 def order_points(points: np.ndarray, config: OrderingConfig) -> dict:

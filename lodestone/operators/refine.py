@@ -1,13 +1,22 @@
 """Local refinement of a path: moves that strictly shorten it, within windows of the order.
 
-Each step depends on the last, so this is batch mode only.
+Each step depends on the last.  A cloud that fits a task is refined as a whole; a larger one in blocks of ranks whose ends
+are held, so blocks do not depend on each other and the path never grows.  Every other round the blocks begin half a block
+later, so the ends of one round lie within the blocks of the next.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.store import cut
 
 WINDOW, ALTERNATIONS, SWAPS = 16, 8, 16
+#: Ranks of a block; rounds over all blocks.
+BLOCK, ROUNDS = 4096, 4
 
 
 def length(points: np.ndarray, order: np.ndarray) -> float:
@@ -18,11 +27,11 @@ def _gap(points: np.ndarray, a: int, b) -> np.ndarray:
     return np.sqrt(((points[b] - points[a]) ** 2).sum(axis=-1))
 
 
-def _pull_forward(points: np.ndarray, order: np.ndarray) -> bool:
+def _pull_forward(points: np.ndarray, order: np.ndarray, held: bool) -> bool:
     """After each place, bring the best of the next points forward."""
     n, changed = len(order), False
     for at in range(n - 2):
-        last = min(at + WINDOW, n - 1)
+        last = min(at + WINDOW, n - 1 - held)
         js = np.arange(at + 2, last + 1)
         if not len(js):
             break
@@ -41,10 +50,10 @@ def _pull_forward(points: np.ndarray, order: np.ndarray) -> bool:
     return changed
 
 
-def _reverse_segments(points: np.ndarray, order: np.ndarray) -> bool:
+def _reverse_segments(points: np.ndarray, order: np.ndarray, held: bool) -> bool:
     n, changed = len(order), False
     for i in range(n - 2):
-        js = np.arange(i + 2, min(i + WINDOW, n - 1) + 1)
+        js = np.arange(i + 2, min(i + WINDOW, n - 1 - held) + 1)
         if not len(js):
             break
         a, b, c = order[i], order[i + 1], order[js]
@@ -59,9 +68,9 @@ def _reverse_segments(points: np.ndarray, order: np.ndarray) -> bool:
     return changed
 
 
-def _swap_neighbours(points: np.ndarray, order: np.ndarray) -> bool:
+def _swap_neighbours(points: np.ndarray, order: np.ndarray, held: bool) -> bool:
     changed = False
-    for i in range(len(order) - 1):
+    for i in range(int(held), len(order) - 1 - held):
         near = order[max(i - 1, 0) : i + 3]
         tried = near.copy()
         k = min(i, 1)
@@ -72,14 +81,32 @@ def _swap_neighbours(points: np.ndarray, order: np.ndarray) -> bool:
     return changed
 
 
-def refine(points: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """A permutation whose path is never longer than the given one."""
+def refine(points: np.ndarray, order: np.ndarray, held: bool = False) -> np.ndarray:
+    """A permutation whose path is never longer than the given one; with ``held`` its first and last point stay."""
     order = np.array(order)
     for _ in range(ALTERNATIONS):
-        moved = _pull_forward(points, order)
-        if not (_reverse_segments(points, order) or moved):
+        moved = _pull_forward(points, order, held)
+        if not (_reverse_segments(points, order, held) or moved):
             break
     for _ in range(SWAPS):
-        if not _swap_neighbours(points, order):
+        if not _swap_neighbours(points, order, held):
             break
     return order
+
+
+def refine_big(ordered: DataFrame, n: int, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """An ordered cloud of any size with the ranks of a path that is never longer."""
+    columns = ordered.columns
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        points = pdf[["x", "y", "z"]].to_numpy()
+        at = refine(points, np.arange(len(pdf)), len(pdf) < n)
+        return pdf.iloc[at].assign(rank=pdf["rank"].to_numpy())[columns]
+
+    schema = ordered.schema
+    for k in range(1 if n <= block else rounds):
+        number = F.floor((F.col("rank") + (block // 2 if k % 2 else 0)) / F.lit(block))
+        # each round ends in a table, so the next one does not run the moves again
+        ordered = cut(ordered.groupBy(number.alias("_block")).applyInPandas(one, schema), "refined")
+    return ordered

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import curves
 from lodestone.functions.store import fresh_path, kept
-from lodestone.operators import layout, metrics, ordering, robust, stats
+from lodestone.operators import layout, metrics, ordering, refine, robust, stats
 from lodestone.operators.ordering import OrderingConfig, keyed, order_cloud
 from lodestone.plans.clouds import (
     BOX_SQL, CLOUD_SQL, EMBED_SQL, EVENTS_SQL, ORDER_SQL, cells_sql, embed_cloud, events_cloud, hilbert_sql,
@@ -502,6 +502,22 @@ def refined_orders(spark, sf):
     return ordering.order_clouds(embed_cloud(spark, sf), OrderingConfig(method="hilbert", bits="uniform", refinement="all"))
 
 
+@query(f"""{SMALL} SELECT true AS shorter, count(*) AS n, count(DISTINCT raw_index) AS points, min(raw_index) AS least,
+ max(raw_index) AS greatest FROM ordered""")
+def refined_in_blocks(spark, sf):
+    """The path over blocks of ranks is never longer and still visits every point once."""
+    plain = _small(spark, sf)
+    n = plain.count()
+    better = refine.refine_big(plain, n, 128, 2)
+    long = metrics.miad(plain).first()["miad"]
+    facts = better.agg(
+        F.count("*").alias("n"), F.countDistinct("raw_index").alias("points"), F.min("raw_index").alias("least"),
+        F.max("raw_index").alias("greatest"),
+    )
+    short = metrics.miad(better).select((F.col("miad") <= long).alias("shorter"))
+    return short.join(F.broadcast(facts))  # one row each
+
+
 ASKED = """asked AS (SELECT 'w' || lpad(i::VARCHAR, 4, '0') AS query_id, CASE i % 3 WHEN 0 THEN 0.015625 WHEN 1 THEN 0.0625 ELSE 0.25 END AS share, raw_index
   FROM range(256) t(i), box, cloud WHERE raw_index = (i * n) // 256),
  windows AS (SELECT query_id, x - share * (hx - lx) AS min_x, y - share * (hy - ly) AS min_y, z - share * (hz - lz) AS min_z,

@@ -70,6 +70,24 @@ def test_refinement_never_lengthens_a_path():
         assert refine.length(points, better) <= refine.length(points, order)
 
 
+@pytest.mark.parametrize("block", [16, 50, 4096])
+def test_refinement_in_blocks(spark, block):
+    points = cloud(130, 0, 9)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "raw_index long, x double, y double, z double")
+    config = OrderingConfig(method="morton", bits="uniform")
+    plain = ordering.order_cloud(df, config).ordered
+    before = [r["raw_index"] for r in plain.orderBy("rank").collect()]
+    got = refine.refine_big(plain, 130, block).orderBy("rank").collect()
+    after = [r["raw_index"] for r in got]
+    assert [r["rank"] for r in got] == list(range(130)) == sorted(after)
+    assert all((r["x"], r["y"], r["z"]) == tuple(points[r["raw_index"]]) for r in got)
+    assert refine.length(points, after) < refine.length(points, before)
+    if block > 130:
+        assert after == refine.refine(points, before).tolist()
+    held = refine.refine(points, before, True)
+    assert (held[0], held[-1]) == (before[0], before[-1]) and refine.length(points, held) <= refine.length(points, before)
+
+
 def test_big_mode_agrees_with_batch_mode(spark):
     points = cloud(300, 0.1)
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "raw_index long, x double, y double, z double")
