@@ -27,7 +27,7 @@ from itertools import accumulate, chain, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, unique
+from lodestone.llm.common import CHUNK, ODD_SPACE, cut, give_back, let, over_arrays, unique
 from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
@@ -216,7 +216,7 @@ def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, size: int = DICTIO
     words = counted.filter(F.col("n") >= least).select("piece", F.xxhash64("piece").alias("hash"), fold_merges(F.array("piece"), ranks)[0].alias("ids"))
     low_first = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: low_first(F.lpad(F.hex(i), 4, "0"))), ""))
-    found = words.select("hash", "piece", packed.alias("ids")).toArrow().sort_by("hash")
+    found = words.select("hash", "piece", packed.alias("ids")).orderBy("hash").toArrow()
     return found["hash"].to_numpy(), found["piece"].combine_chunks(), found["ids"].combine_chunks()
 
 
@@ -440,7 +440,11 @@ def encode(
     context = docs.sparkSession.sparkContext
     vocabulary = read_ranks(rank_file)
     ranks, shared_ranks = RankMap(vocabulary), context.broadcast(vocabulary)
-    look_up = _look_up(context.broadcast(dictionary(docs, ranks, pattern, size)), shared_ranks, pattern)
+    del vocabulary
+    give_back()
+    shared_pieces = context.broadcast(dictionary(docs, ranks, pattern, size))
+    give_back()  # the driver has what it needs of the dictionary in the broadcast file
+    look_up = _look_up(shared_pieces, shared_ranks, pattern)
     added = ["ids", *(["n_tokens", "ids_sha256", "decoded_sha256"] if with_digests else [])]
     own = {f"own{k}": c for k, c in enumerate(docs.columns if passed is None else passed) if c not in added}
 
