@@ -12,7 +12,8 @@ Defined results
 * n_sentences counts pieces between ``ENDS``, where each line end is one;
 * null text: read as empty; no known sentence: an empty sequence and no licences;
 * ties: the rule listed first wins; a licence found several times is reported once;
-* repeated rows are scanned each; other columns are passed on, but for names that the operator adds.
+* repeated rows are scanned each, very long texts whole; an empty table gives no rows;
+* other columns, whatever their names, are passed on, but for names that the operator adds.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import columns_of, let, unique
 
 #: Where sentences end.
 ENDS = r"[.!?;]+[ \t\r]+|[\r\n]+"
@@ -171,7 +172,8 @@ def sequence(text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_sentences, sentence_ids (joined by ;) and licenses (joined by ,)."""
+    """``docs`` with n_sentences, sentence_ids (joined by ;) and licenses (joined by ,), in place of columns of these names."""
+    inner = unique("ids")
     text = F.coalesce(F.col("text"), F.lit(""))
     rules = F.array(
         *(
@@ -179,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for n, ids in (*FULL_RULES_FIRST, *RULES, *FULL_RULES)
         )
     )
-    begun = F.struct(F.col("_ids").alias("left"), F.array().cast("array<string>").alias("found"))
+    begun = F.struct(F.col(inner).alias("left"), F.array().cast("array<string>").alias("found"))
 
     def one(state: Column, rule: Column) -> Column:
         hit = F.contains(state["left"], rule["ids"])
@@ -188,14 +190,14 @@ def scan(docs: DataFrame) -> DataFrame:
             F.when(hit, F.concat(state["found"], F.array(rule["name"]))).otherwise(state["found"]).alias("found"),
         )
 
-    kept = [c for c in docs.columns if c not in ("n_sentences", "sentence_ids", "licenses", "_ids")]
+    kept = [c for c, name in zip(columns_of(docs), docs.columns) if name not in ("n_sentences", "sentence_ids", "licenses")]
     found = F.aggregate(rules, begun, one, lambda s: F.array_join(F.array_distinct(s["found"]), ","))
     sentences = F.size(F.filter(F.split(text, ENDS, -1), lambda s: F.trim(s) != "")).cast("long")
-    return docs.select(*kept, sentences.alias("n_sentences"), sequence(text).alias("_ids")).select(
+    return docs.select(*kept, sentences.alias("n_sentences"), sequence(text).alias(inner)).select(
         *kept,
         "n_sentences",
-        F.trim(F.col("_ids"), F.lit(";")).alias("sentence_ids"),
-        F.when(F.col("_ids") == ";;", F.lit("")).otherwise(found).alias("licenses"),
+        F.trim(F.col(inner), F.lit(";")).alias("sentence_ids"),
+        F.when(F.col(inner) == ";;", F.lit("")).otherwise(found).alias("licenses"),
     )
 
 

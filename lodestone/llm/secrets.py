@@ -14,7 +14,8 @@ alternate, so the start of match k is the sum of the lengths before it.
 Defined results
 * null text: scanned as empty; empty text: no spans and the hash of the empty string;
 * positions count code points, ends are exclusive;
-* ties (two kinds with one start) are ordered as the kinds are listed; repeated rows are scanned each;
+* ties (two kinds with one start) are ordered as the kinds are listed; repeated rows are scanned each, very long texts whole;
+* an empty table gives no rows;
 * other columns are passed on; names the operator adds replace columns of the same name.
 """
 

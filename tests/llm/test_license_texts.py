@@ -40,3 +40,15 @@ def test_license_texts(spark):
     df = spark.createDataFrame(rows, "name string, text string")
     for r in scan(df).collect():
         assert r["licenses"] == r["name"], (r["text"], r["sentence_ids"])
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_ids", "a.b", "_row", "licenses", "ids"]
+    rows = [(1, "Released under the MIT License.", *("x" * 5)), (2, None, *([None] * 5)), (3, "word " * 50_000, *("y" * 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    from lodestone.llm.licenses import scan
+
+    got = {r["doc_id"]: r for r in scan(docs).collect()}
+    assert list(got[1].asDict()) == ["doc_id", "text", "_ids", "a.b", "_row", "ids", "n_sentences", "sentence_ids", "licenses"]
+    assert (got[1]["_ids"], got[1]["a.b"], got[1]["licenses"]) == ("x", "x", "MIT")
+    assert got[2]["licenses"] == "" and got[3]["licenses"] == "" and scan(docs.limit(0)).isEmpty()
