@@ -95,6 +95,62 @@ def median_bootstrap(strata: dict[str, list[float]], draws: int = 20_000, seed:
     return float(np.median(values)), medians[int(0.025 * draws)], medians[min(draws - 1, int(0.975 * draws))]
 
 
+def drawn(seed: int, *names: Column | str) -> Column:
+    """A number of 32 bits that follows from the seed and the names alone, in whatever task it is drawn."""
+    said = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(n).cast("string") if isinstance(n, str) else n for n in names)))
+    return F.conv(F.substring(said, 1, 8), 16, 10).cast("long")
+
+
+def resampled(rows: DataFrame, strata: list[str], order: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
+    """(draw, mean, median) of ``draws`` resamples with replacement within strata, each as large as the rows.
+
+    Draws are counter-based, so they are dealt over tasks and come out the same however they are dealt.
+    """
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order)) - 1
+    size = F.count("*").over(Window.partitionBy(*strata))
+    rows = rows.select(*strata, place.alias("_i"), size.alias("_n"), F.col(value).alias("_v"))
+    asked = rows.select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    asked = asked.select("draw", *strata, (drawn(seed, "draw", *strata, "_i") % F.col("_n")).alias("_i"))
+    found = asked.join(rows.drop("_n"), [*strata, "_i"])
+    return found.groupBy("draw").agg(F.avg("_v").alias("mean"), F.percentile("_v", 0.5).alias("median"))
+
+
+def resampled_interval(rows: DataFrame, strata: list[str], order: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
+    """Mean and median of all rows with their percentile intervals over stratified resamples: one row."""
+    got = resampled(rows, strata, order, value, draws, seed)
+    at = lambda c, share: F.get(F.array_sort(F.collect_list(c)), F.lit(min(draws - 1, int(share * draws))))
+    ends = got.agg(*(at(c, share).alias(f"{c}_{k}") for c in ("mean", "median") for k, share in (("low", 0.025), ("high", 0.975))))
+    whole = rows.agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
+    return whole.join(F.broadcast(ends))  # one row each
+
+
+def flipped_share(sums: DataFrame, value: str) -> DataFrame:
+    """One-sided p of so low a total of block sums when blocks change sign: all 2^n flips, dealt over tasks in ranges.
+
+    The sums of at most 30 blocks come to the driver and stand in the plan.
+    """
+    blocks = [float(r[0]) for r in sums.select(value).orderBy(value).limit(31).collect()]
+    if len(blocks) > 30:
+        raise ValueError("more than 30 blocks: draw flips instead")
+    flips = sums.sparkSession.range(1 << len(blocks))
+    sign = lambda k: 1 - 2 * F.shiftright("id", k).bitwiseAND(F.lit(1))
+    total = sum((sign(k) * b for k, b in enumerate(blocks)), F.lit(0.0))
+    lower = F.count_if(total <= sum(blocks) + 1e-9)
+    return flips.agg(F.lit(len(blocks)).cast("long").alias("blocks"), lower.alias("lower"), (lower / F.count("*")).alias("p"))
+
+
+def signed_rank_sums(rows: DataFrame, stratum: list[str], block: list[str], value: str) -> DataFrame:
+    """By block the sum of signed mid-ranks of the magnitudes within a stratum; zeros are dropped.
+
+    Mid-ranks come from counts of equal magnitudes, so ties need no look at each other.
+    """
+    some = rows.filter(F.col(value) != 0).withColumn("_m", F.abs(value))
+    counts = some.groupBy(*stratum, "_m").agg(F.count("*").alias("_c"))
+    below = F.sum("_c").over(Window.partitionBy(*stratum).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(*stratum, "_m", (F.coalesce(below, F.lit(0)) + (F.col("_c") + 1) / 2).alias("_r"))
+    return some.join(ranks, [*stratum, "_m"]).groupBy(*block).agg(F.sum(F.signum(value) * F.col("_r")).alias("signed"))
+
+
 def bootstrap_by_group(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
     """Median and percentile interval of each group, a task for each."""
     import pandas as pd

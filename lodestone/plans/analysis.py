@@ -317,3 +317,49 @@ def case_measurements(spark, sf):
 
 
 __all__ = ["QUERIES", "SQL", "ordering"]
+
+
+# --- resampling -------------------------------------------------------------------------------------------------
+
+STRATA = f"""WITH {MEANS}, {DELTAS}, d AS (SELECT cloud_id, cloud_id % 3 AS stratum, delta,
+ row_number() OVER (PARTITION BY cloud_id % 3 ORDER BY cloud_id) - 1 AS i, count(*) OVER (PARTITION BY cloud_id % 3) AS n FROM deltas)"""
+DRAWS = 500
+
+
+def _deltas(spark, sf):
+    d = stats.paired_contrast(_cases(spark, sf), "arm", "N", "R", ["cloud_id"], "v")
+    return d.withColumn("stratum", F.col("cloud_id") % 3)
+
+
+@query(f"""{STRATA}, drawn AS (SELECT b, stratum, ('0x' || substr(md5('7:' || b || ':' || stratum || ':' || i), 1, 8))::BIGINT % n AS i
+  FROM d, range({DRAWS}) t(b)),
+ boots AS (SELECT b, avg(delta) AS mean, median(delta) AS median FROM drawn JOIN d USING (stratum, i) GROUP BY b),
+ ends AS (SELECT list_sort(list(mean)) AS m, list_sort(list(median)) AS k FROM boots)
+ SELECT round((SELECT avg(delta) FROM d), 6) AS mean, round((SELECT median(delta) FROM d), 6) AS median, (SELECT count(*) FROM d) AS n,
+ round(m[{int(0.025 * DRAWS) + 1}], 6) AS mean_low, round(m[{int(0.975 * DRAWS) + 1}], 6) AS mean_high,
+ round(k[{int(0.025 * DRAWS) + 1}], 6) AS median_low, round(k[{int(0.975 * DRAWS) + 1}], 6) AS median_high FROM ends""")
+def stratified_bootstrap(spark, sf):
+    """Mean difference and median with percentile intervals, resampled within strata by counter-based draws."""
+    return _named(stats.resampled_interval(_deltas(spark, sf), ["stratum"], "cloud_id", "delta", DRAWS, 7))
+
+
+SIGNED = f"""{STRATA}, ranked AS (SELECT cloud_id % 11 AS block, sign(delta) * (rank() OVER (PARTITION BY stratum ORDER BY abs(delta))
+  + (count(*) OVER (PARTITION BY stratum, abs(delta)) - 1) / 2.0::DOUBLE) AS r FROM d WHERE delta <> 0),
+ sums AS (SELECT block, sum(r) AS signed FROM ranked GROUP BY 1)"""
+
+
+@query(f"{SIGNED} SELECT block, round(signed, 6) AS signed FROM sums")
+def signed_rank_blocks(spark, sf):
+    rows = _deltas(spark, sf).withColumn("block", F.col("cloud_id") % 11)
+    return _named(stats.signed_rank_sums(rows, ["stratum"], ["block"], "delta"))
+
+
+@query(f"""{SIGNED}, s AS (SELECT list(signed ORDER BY signed) AS s FROM sums),
+ flips AS (SELECT list_sum(list_transform(range(len(s)), lambda k: s[k + 1] * (1 - 2 * ((i >> k) & 1)))) AS total,
+  list_sum(s) AS seen, len(s) AS blocks FROM range((1 << (SELECT len(s) FROM s))::BIGINT) t(i), s)
+ SELECT any_value(blocks) AS blocks, count(*) FILTER (total <= seen + 1e-9) AS lower,
+ round(count(*) FILTER (total <= seen + 1e-9) / count(*), 6) AS p FROM flips""")
+def sign_flip_test(spark, sf):
+    """Exact block sign-flip test of the signed ranks: every flip is looked at."""
+    rows = _deltas(spark, sf).withColumn("block", F.col("cloud_id") % 11)
+    return _named(stats.flipped_share(stats.signed_rank_sums(rows, ["stratum"], ["block"], "delta"), "signed"))

@@ -32,3 +32,31 @@ def test_the_only_ply_of_an_archive(spark, tmp_path):
             t.addfile(info, io.BytesIO(content))
     rows = read_cloud(spark, str(tmp_path / "a.tar.gz")).orderBy("raw_index").collect()
     assert [(r["x"], r["y"], r["z"]) for r in rows] == [(1, 2, 3), (4, 5, 6)]
+
+
+def test_flips_in_ranges_are_the_batch_test(spark):
+    import random
+
+    from lodestone.operators import stats
+
+    draw = random.Random(3)
+    rows = [(f"s{k % 2}", f"b{k % 7}", round(draw.gauss(-0.3, 1), 1)) for k in range(60)]
+    df = spark.createDataFrame(rows, "stratum string, block string, delta double")
+    sums = stats.signed_rank_sums(df, ["stratum"], ["block"], "delta")
+    got = stats.flipped_share(sums, "signed").first()
+    blocks = [[(s, d) for s, b, d in rows if b == name] for name in sorted({r[1] for r in rows})]
+    assert got["blocks"] == 7 and got["p"] == pytest.approx(stats.signed_rank_p(blocks))
+    many = spark.createDataFrame([(float(k),) for k in range(31)], "signed double")
+    with pytest.raises(ValueError, match="more than 30"):
+        stats.flipped_share(many, "signed")
+    assert stats.sign_test(3, 0) == 1 / 8 and stats.sign_test(0, 0) == 1
+
+
+def test_resamples_do_not_depend_on_how_rows_are_dealt(spark):
+    from lodestone.operators import stats
+
+    df = spark.createDataFrame([(k % 2, k, float(k * k % 13)) for k in range(30)], "stratum int, at int, v double")
+    a, b = (sorted(map(tuple, stats.resampled(d, ["stratum"], "at", "v", 20, 5).collect())) for d in (df, df.repartition(7)))
+    assert [x[0] for x in a] == list(range(20)) and a == pytest.approx(b) and len({x[1] for x in a}) > 10
+    low = stats.resampled_interval(df, ["stratum"], "at", "v", 40, 5).first()
+    assert low["mean_low"] <= low["mean"] <= low["mean_high"] and low["n"] == 30
