@@ -57,6 +57,7 @@ def test_resamples_do_not_depend_on_how_rows_are_dealt(spark):
 
     df = spark.createDataFrame([(k % 2, k, float(k * k % 13)) for k in range(30)], "stratum int, at int, v double")
     a, b = (sorted(map(tuple, stats.resampled(d, ["stratum"], "at", "v", 20, 5).collect())) for d in (df, df.repartition(7)))
-    assert [x[0] for x in a] == list(range(20)) and a == pytest.approx(b) and len({x[1] for x in a}) > 10
+    assert [x[0] for x in a] == list(range(20)) and len({x[1] for x in a}) > 10
+    assert [[round(v, 9) for v in x] for x in a] == [[round(v, 9) for v in x] for x in b]
     low = stats.resampled_interval(df, ["stratum"], "at", "v", 40, 5).first()
     assert low["mean_low"] <= low["mean"] <= low["mean_high"] and low["n"] == 30
