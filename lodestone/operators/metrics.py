@@ -262,6 +262,18 @@ def permutation_check(ordered: DataFrame, n: int) -> DataFrame:
     ).withColumn("valid", F.expr(f"rows = {n} and distinct_rows = {n} and least = 0 and greatest = {n - 1}"))
 
 
+def checked_miad(ordered: DataFrame, n: int) -> DataFrame:
+    """:func:`miad` of an order that must name each of n points once, in ranks 0 to n - 1; 0 if it does not."""
+    ranks = ordered.agg(
+        (F.countDistinct("rank") == n).alias("_all"), (F.coalesce(F.min("rank"), F.lit(0)) == 0).alias("_from"),
+        (F.coalesce(F.max("rank"), F.lit(n - 1)) == n - 1).alias("_to"),
+    )
+    sound = permutation_check(ordered, n).select("valid").join(F.broadcast(ranks))  # one row each
+    sound = sound.select(((F.col("valid") | F.lit(n == 0)) & F.col("_all") & F.col("_from") & F.col("_to")).alias("valid"))
+    found = miad(ordered).join(F.broadcast(sound))
+    return found.select(F.when(F.col("valid"), F.col("miad")).otherwise(0.0).alias("miad"), F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
 def order_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Ranks at which two orders name different points, or only one has a point."""
     joined = a.select("rank", F.col("raw_index").alias("left_index")).join(

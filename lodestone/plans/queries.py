@@ -261,6 +261,20 @@ def miad(spark, sf):
     return _named(metrics.miad(_ordered(spark, sf, UNIFORM)))
 
 
+@query(f"""{HILB}, {EDGES} SELECT flag, CASE WHEN flag = 'whole' THEN (SELECT round(avg(d), 6) FROM edges) ELSE 0 END AS miad,
+ flag = 'whole' AS valid FROM (VALUES ('whole'), ('one lost'), ('one twice')) t(flag)""")
+def checked_path(spark, sf):
+    """The path length of an order, and 0 for the same order with a point lost or named twice."""
+    ordered = _ordered(spark, sf)
+    n = ordered.count()
+    lost = ordered.filter(F.col("rank") != n // 2)
+    twice = ordered.withColumn("raw_index", F.when(F.col("rank") == 1, F.lit(0).cast("long")).otherwise(F.col("raw_index")))
+    twice = twice.withColumn("raw_index", F.when(F.col("rank") == 2, F.lit(0).cast("long")).otherwise(F.col("raw_index")))
+    cases = (("whole", ordered), ("one lost", lost), ("one twice", twice))
+    rows = [_named(metrics.checked_miad(o, n)).withColumn("flag", F.lit(name)) for name, o in cases]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(f"""{HILB}, {EDGES} SELECT round((SELECT avg(d) FROM edges) / sqrt((hx - lx) ** 2 + (hy - ly) ** 2 + (hz - lz) ** 2), 6)
  AS normalized_miad FROM box""")
 def normalized_miad(spark, sf):

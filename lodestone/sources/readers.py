@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 import tarfile
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,9 +191,3 @@ def compression_ratio(payload: bytes, level: int = 6) -> float:
     import zlib
 
     return len(zlib.compress(payload, level)) / len(payload) if payload else 1.0
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path for a table written on the way: in the shared folder of the session, if it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}" if base else os.path.join(tempfile.mkdtemp(), name)
