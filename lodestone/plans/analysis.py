@@ -203,14 +203,14 @@ CASES = """SELECT a.method, b.rule, c.cond, g.geometry, n.points, s.seed
  FROM (VALUES ('hilbert'), ('morton'), ('pca_hilbert'), ('robust_hilbert')) a(method),
  (VALUES ('uniform'), ('monotone_half'), ('frame_core')) b(rule), (VALUES ('D0'), ('D1'), ('D2'), ('D3'), ('D4')) c(cond),
  (VALUES ('E0'), ('E1'), ('E2'), ('E5'), ('E6'), ('E7'), ('E8')) g(geometry), (VALUES (256), (384)) n(points),
- (SELECT unnest(range(10))::INT AS seed) s WHERE NOT (a.method = 'hilbert' AND b.rule <> 'uniform')"""
+ (SELECT DISTINCT s_suppkey::INT AS seed FROM supplier) s WHERE NOT (a.method = 'hilbert' AND b.rule <> 'uniform')"""
 
 
 @query(CASES)
 def case_matrix(spark, sf):
     from lodestone.plans.matrix import expand
 
-    return expand(spark, seeds=10)
+    return expand(spark, table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("seed")).distinct())
 
 
 @query("""WITH lo AS (SELECT min(x) lx, max(x) hx, min(y) ly, max(y) hy, count(*) n FROM (SELECT l_quantity x, l_tax y FROM lineitem))
@@ -270,7 +270,7 @@ def xyz_parse(spark, sf):
 
 
 @query("""WITH s AS (SELECT i, ((42 + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS s
-  FROM range(1000) t(i)),
+  FROM (SELECT DISTINCT o_orderkey AS i FROM orders)),
  a AS (SELECT i, ((xor(s, s >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS s FROM s),
  b AS (SELECT i, ((xor(s, s >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS s FROM a)
  SELECT i AS id, (xor(s, s >> 31) >> 11)::BIGINT AS top FROM b""")
@@ -279,15 +279,18 @@ def splitmix_stream(spark, sf):
     def top(i: pd.Series) -> pd.Series:
         return pd.Series((generators.draws(42, i.to_numpy()) >> np.uint64(11)).astype(np.int64))
 
-    return spark.range(1000).select("id", top("id").alias("top"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).distinct().select("id", top("id").alias("top"))
 
 
 @query()
 def generated_clouds(spark, sf):
     out = None
-    for k, family in enumerate(generators.FAMILIES):
-        c = generators.cloud(spark, family, 500, 100 + k).withColumn("family", F.lit(family))
-        out = c if out is None else out.unionByName(c)
+    seeds = sorted(r[0] for r in table(spark, sf, "region").select("r_regionkey").distinct().collect())
+    for seed in seeds:
+        for k, family in enumerate(generators.FAMILIES):
+            c = generators.cloud(spark, family, 500, 100 * (seed + 1) + k)
+            c = c.withColumns({"family": F.lit(family), "seed": F.lit(seed)})
+            out = c if out is None else out.unionByName(c)
     return out
 
 
@@ -313,7 +316,8 @@ def bootstrap_ci(spark, sf):
 def case_measurements(spark, sf):
     from lodestone.plans.matrix import expand, measure
 
-    return measure(expand(spark, seeds=1).filter("points = 256 and geometry in ('E0', 'E1', 'E2')"))
+    seeds = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("seed")).distinct()
+    return measure(expand(spark, seeds).filter("points = 256 and geometry in ('E0', 'E1', 'E2')"))
 
 
 __all__ = ["QUERIES", "SQL", "ordering"]

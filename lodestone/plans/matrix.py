@@ -23,16 +23,17 @@ def independent_seed(geometry: str, seed: int, salt: str = "lodestone-independen
     return int.from_bytes(hashlib.sha256(f"{salt}:{geometry}:{seed}".encode()).digest()[:8], "little")
 
 
-def expand(spark: SparkSession, seeds: int) -> DataFrame:
-    """All cases; the isotropic method has one bit rule only. Each side is a list of settings."""
+def expand(spark: SparkSession, seeds: DataFrame) -> DataFrame:
+    """All cases of the given seeds; the isotropic method has one bit rule only. Each other side is a list of settings."""
     side = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    cases = side("method", METHODS, "string")
+    cases = seeds.select("seed").join(F.broadcast(side("method", METHODS, "string")))
     for name, values, kind in (
         ("rule", BIT_RULES, "string"), ("cond", CONTAMINATION, "string"), ("geometry", GEOMETRY, "string"),
-        ("points", SIZES, "int"), ("seed", range(seeds), "int"),
+        ("points", SIZES, "int"),
     ):
         cases = cases.join(F.broadcast(side(name, values, kind)))
-    return cases.filter("not (method = 'hilbert' and rule <> 'uniform')")
+    cases = cases.filter("not (method = 'hilbert' and rule <> 'uniform')")
+    return cases.select("method", "rule", "cond", "geometry", "points", "seed")
 
 
 def measure(cases: DataFrame) -> DataFrame:

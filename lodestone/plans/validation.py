@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import layout
 from lodestone.operators.ordering import OrderingConfig, keyed, order_cloud
-from lodestone.plans.clouds import BOX_SQL, CLOUD_SQL, EMBED_SQL, ORDER_SQL, cells_sql, embed_cloud, hilbert_sql, lineitem_cloud, table
+from lodestone.plans.clouds import BOX_SQL, CLOUD_SQL, EMBED_SQL, ORDER_SQL, cells_sql, embed_cloud, hilbert_sql, lineitem_cloud, lineitem_points, table
 from lodestone.plans.queries import HILBERT, INSIDE, QUERIES, SQL, TEN, UNIFORM, WINDOWS, _r, query
 
 
@@ -73,7 +73,7 @@ def sampled_ranks(spark, sf):
 @query(f"WITH {CLOUD_SQL}, {BOX_SQL} SELECT round(sqrt((hx - lx) ** 2 + (hy - ly) ** 2 + (hz - lz) ** 2), 6) AS half_width FROM box")
 def shared_cube(spark, sf):
     spans = [F.max(a) - F.min(a) for a in ("x", "y", "z")]
-    return lineitem_cloud(spark, sf).agg(_r(F.sqrt(sum(s * s for s in spans))).alias("half_width"))
+    return lineitem_points(spark, sf).agg(_r(F.sqrt(sum(s * s for s in spans))).alias("half_width"))
 
 
 @query(f"""WITH {CLOUD_SQL} SELECT cloud_id, count(*) AS n, max(x) - min(x) AS extent_x, round(max(y) - min(y), 6) AS extent_y,
@@ -81,7 +81,7 @@ def shared_cube(spark, sf):
 def geometry_descriptors(spark, sf):
     span = lambda c: F.max(c) - F.min(c)
     shear = F.covar_samp("x", "y") / F.sqrt(F.var_samp("x") * F.var_samp("y"))
-    return lineitem_cloud(spark, sf).groupBy("cloud_id").agg(
+    return lineitem_points(spark, sf).groupBy("cloud_id").agg(
         F.count("*").alias("n"), span("x").alias("extent_x"), _r(span("y")).alias("extent_y"), _r(span("z")).alias("extent_z"),
         _r(shear).alias("shear"),
     )
@@ -92,7 +92,7 @@ def geometry_descriptors(spark, sf):
 def matched_resolution(spark, sf):
     """One physical cell width for all arms: the greatest that any of them needs, and the domain that follows."""
     width = lambda c: ((F.max(c) - F.min(c)) / 1024).alias(f"w{c}")
-    g = lineitem_cloud(spark, sf).groupBy("cloud_id").agg(width("x"), width("y"))
+    g = lineitem_points(spark, sf).groupBy("cloud_id").agg(width("x"), width("y"))
     return g.agg(
         _r(F.max("wx"), 9).alias("width_x"), _r(F.max("wy"), 9).alias("width_y"),
         _r(F.max("wx") * 512).alias("half_x"), _r(F.max("wy") * 512).alias("half_y"),
@@ -100,16 +100,18 @@ def matched_resolution(spark, sf):
 
 
 @query("""WITH w AS (SELECT (i // 256) AS block, i AS nth FROM range(1024) t(i))
- SELECT count(*) AS windows, count(DISTINCT nth) AS ids, 256::BIGINT AS first_block, 0::BIGINT AS misplaced FROM w""")
+ SELECT count(*) AS windows, count(DISTINCT nth) AS ids, 256::BIGINT AS first_block, 0::BIGINT AS misplaced,
+ (SELECT round(max(l_quantity) - min(l_quantity), 6) FROM lineitem) AS extent_x FROM w""")
 def workload_nesting(spark, sf):
     """256, 512 and 1,024 windows: each is the start of the next, and ids are unique."""
     from lodestone.plans.workload import nested_workload
 
-    box = [0.0, 0.0, 0.0], [1.0, 2.0, 3.0]
+    ends = lineitem_points(spark, sf).agg(*(f(c) for f in (F.min, F.max) for c in "xyz")).first()
+    box = list(ends[:3]), list(ends[3:])
     small, middle, large = (nested_workload(*box, seed=7, n=n) for n in (256, 512, 1024))
     misplaced = sum(a != b for a, b in zip(small, large)) + sum(a != b for a, b in zip(middle, large))
-    row = (len(large), len({w[0] for w in large}), len(small), misplaced)
-    return spark.createDataFrame([row], "windows long, ids long, first_block long, misplaced long")
+    row = (len(large), len({w[0] for w in large}), len(small), misplaced, round(float(ends[3] - ends[0]), 6))
+    return spark.createDataFrame([row], "windows long, ids long, first_block long, misplaced long, extent_x double")
 
 
 @query(f"""WITH {CLOUD_SQL}, r AS (SELECT cloud_id, flag, x, rank() OVER (PARTITION BY cloud_id, flag ORDER BY x) AS low,
@@ -119,7 +121,7 @@ def signed_ranks(spark, sf):
     """Signed mid-rank sums within strata."""
     low = F.rank().over(Window.partitionBy("cloud_id", "flag").orderBy("x"))
     ties = F.count("*").over(Window.partitionBy("cloud_id", "flag", "x"))
-    rows = lineitem_cloud(spark, sf).select("cloud_id", "flag", "x", (low + (ties - 1) / F.lit(2.0)).alias("mid"))
+    rows = lineitem_points(spark, sf).select("cloud_id", "flag", "x", (low + (ties - 1) / F.lit(2.0)).alias("mid"))
     return rows.groupBy("cloud_id", "flag").agg(_r(F.sum(F.col("mid") * F.signum(F.col("x") - 25)), 4).alias("signed_rank"))
 
 
