@@ -492,8 +492,8 @@ def robust_hilbert_order(spark, sf):
 
 @query()
 def det_mcd_hilbert_order(spark, sf):
-    """The default: six concentrated starts, as aggregates where the cloud is large."""
-    return order_cloud(lineitem_cloud(spark, sf), OrderingConfig()).ordered
+    """The default: six concentrated starts; as aggregates beyond ``ordering.GATHERED`` points."""
+    return order_cloud(embed_cloud(spark, sf), OrderingConfig()).ordered
 
 
 @query()
