@@ -54,16 +54,18 @@ class RankMap:
 
     The rows of the sparse matrix of ranks (left id by right id) are laid over each other, each at the first offset at
     which its entries meet free places: the pair (left, right) stands at the left id's offset plus the right id.
+    Within the fold ids are one greater, so that a free place is 0, the shortest literal: two thirds of the table are free.
     """
 
     #: What stands at a free place: the entry of a left id that cannot be.
-    EMPTY = 0xFFFF << 16
-    #: Greater than any rank.
+    EMPTY = 0
+    #: Greater than any id within the fold.
     NONE = 1 << 16
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= self.NONE - 1:
             raise ValueError("ranks above 65534 do not fit the table")
+        ranks = {piece: rank + 1 for piece, rank in ranks.items()}
         rows: dict[int, dict[int, int]] = {}
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):
@@ -99,7 +101,7 @@ class RankMap:
 
 
 def fold_merges(words: Column, ranks: RankMap) -> Column:
-    """Ids of each word of an array (of binary): while a pair merges, the leftmost pair of least rank does."""
+    """Ids (one greater while they merge) of each word of an array (of binary): while a pair merges, the leftmost pair of least rank does."""
     table, offsets, first = ranks.literals()
     # each literal stands once in the plan and is bound to a variable
     fold = lambda t, o, f: F.transform(words, lambda w: _fold(w, lambda x, y: ranks.merged(t, o, x, y), f))
@@ -132,7 +134,7 @@ def _fold(word: Column, merge, first: Column) -> Column:
     begun = F.struct(F.transform(letters, lambda c: F.get(first, F.ascii(c))).alias("ids"), F.lit(True).alias("left"))
     turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
     none = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step, lambda s: s["ids"]))
+    return F.when(F.octet_length(word) == 0, none).otherwise(F.aggregate(turns, begun, step, lambda s: F.transform(s["ids"], lambda x: x - 1)))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
