@@ -14,14 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ranking import with_row_number
 from lodestone.schema import WINDOWS, OrderingError
-
-#: Scalar types of PLY headers.  Fixed values.
-PLY_TYPES = {
-    "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2",
-    "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4",
-    "double": "f8", "float64": "f8",
-}
-
+from lodestone.sources.ply import ply_header, ranged, read_ply_ranges
 
 def parsed_fields(line: Column) -> Column:
     """Fields of a text line: commas and semicolons count as blanks."""
@@ -58,44 +51,18 @@ def read_xyz(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
 
 def ply_points(content: bytes) -> np.ndarray:
     """x, y, z of a PLY file's vertices, ASCII or binary, by property name."""
-    end = content.index(b"end_header") + len(b"end_header")
-    end = content.index(b"\n", end) + 1
-    header = content[:end].decode("ascii").split("\n")
-    if header[0].strip() != "ply":
-        raise ValueError("not a PLY file")
-    kind, element, names, n = None, None, [], None
-    for line in header[1:]:
-        part = line.split()
-        if not part or part[0] in ("comment", "obj_info", "end_header"):
-            continue
-        if part[0] == "format":
-            kind = part[1]
-        elif part[0] == "element":
-            if n is None and part[1] != "vertex":
-                raise ValueError("elements before the vertices are not supported")
-            if part[1] == "vertex" and n is not None:
-                raise ValueError("two vertex elements")
-            element = part[1]
-            n = int(part[2]) if element == "vertex" else n
-        elif part[0] == "property" and element == "vertex":
-            if part[1] == "list":
-                raise ValueError("list properties of vertices are not supported")
-            names.append((part[2], PLY_TYPES[part[1]]))
-    at = [k for k, _ in names]
-    if n is None or not {"x", "y", "z"} <= set(at):
-        raise ValueError("no vertices with x, y and z")
-    if kind == "ascii":
+    h = ply_header(content)
+    n, end = h.n, h.end
+    if h.ascii:
         lines = content[end:].decode("ascii").split("\n")[:n]
         rows = [line.split() for line in lines if line.strip()]
         if len(rows) != n:
             raise ValueError(f"{len(rows)} of {n} vertices")
-        out = np.array([[float(r[at.index(c)]) for c in "xyz"] for r in rows]).reshape(-1, 3)
+        out = np.array([[float(r[k]) for k in h.places] for r in rows]).reshape(-1, 3)
     else:
-        order = {"binary_little_endian": "<", "binary_big_endian": ">"}[kind]
-        record = np.dtype([(k, order + t) for k, t in names])
-        if len(content) - end < n * record.itemsize:
+        if len(content) - end < n * h.record.itemsize:
             raise ValueError("the vertices are cut off")
-        v = np.frombuffer(content, record, n, end)
+        v = np.frombuffer(content, h.record, n, end)
         out = np.column_stack([v[c].astype(float) for c in "xyz"])
     if not np.isfinite(out).all():
         raise ValueError("points are not finite")
@@ -135,10 +102,12 @@ def read_ply(spark: SparkSession, path: str, member: str | None = None) -> DataF
 
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
-    """By extension, whatever its case: .xyz, .csv, .ply, and archives of PLY."""
+    """By extension, whatever its case: .xyz, .csv, .ply (by ranges where Arrow knows the address), and archives of PLY."""
     name = path.lower()
     if name.endswith((".xyz", ".csv")):
         return read_xyz(spark, path)
+    if name.endswith(".ply") and ranged(path):
+        return read_ply_ranges(spark, path)
     if name.endswith((".ply", ".ply.gz", ".tar.gz", ".tgz")):
         return read_ply(spark, path)
     raise OrderingError("invalid_input", f"unknown extension of {path}")
