@@ -497,12 +497,121 @@ def _with_mid_ranks(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
+#: Points about the h-th distance of a start that the driver holds at most.
+BAND = 50_000
+
+
+def bands(rows: DataFrame, v: list[Column], shapes: list[tuple], h: int) -> list[dict | None]:
+    """For each (center, inverse) the points about the h-th distance, and the sums of all nearer ones.
+
+    Counting rounds as in :func:`innermost`, until the h-th point's bits are shared by ``BAND`` points at most; neighbouring
+    bits are added while they fit.  None where too many points are at one distance.
+    """
+    points = rows.select(*(c.cast("double").alias(a) for c, a in zip(v, AXES)))
+    state = [{"left": h, "prefix": None, "n": 0, "sums": np.zeros(9)} for _ in shapes]
+    out: list = [None] * len(shapes)
+    going = list(range(len(shapes)))
+    for shift, last in zip(SHIFTS, (None, *SHIFTS)):
+        asked = {}
+        for t, groups in _by_bits(points, [shapes[k] for k in going], [state[k] for k in going], shift, last).items():
+            s, counts = state[going[t]], np.array([g[1] for g in groups])
+            at = int(np.searchsorted(np.cumsum(counts), s["left"]))
+            lo = hi = at
+            while counts[lo : hi + 1].sum() <= BAND:  # a wider band, on either side in turn
+                wider = (lo - 1, hi) if hi - at >= at - lo and lo else (lo, hi + 1) if hi + 1 < len(groups) else (lo - 1, hi)
+                if wider[0] < 0 or counts[wider[0] : wider[1] + 1].sum() > BAND:
+                    break
+                lo, hi = wider
+            low = at if counts[at] > BAND else lo
+            s["n"] += int(counts[:low].sum())
+            s["left"] -= int(counts[:low].sum())
+            s["sums"] = s["sums"] + sum((np.array(g[2:]) for g in groups[:low]), np.zeros(9))
+            s["prefix"] = groups[at][0]
+            if counts[at] <= BAND:
+                asked[going[t]] = (groups[lo][0], groups[hi][0])
+        if asked:
+            ks = sorted(asked)
+            for k, x in zip(ks, _between(points, [shapes[k] for k in ks], [asked[k] for k in ks], shift)):
+                ends = [float(np.array([b << shift], np.int64).view(np.float64)[0]) for b in (asked[k][0], asked[k][1] + 1)]
+                out[k] = {"n": state[k]["n"], "sums": state[k]["sums"], "points": x, "ends": np.sqrt(ends), "shape": shapes[k]}
+        going = [k for k in going if k not in asked]
+        if not going:
+            break
+    return out
+
+
+def _between(points: DataFrame, shapes, ends: list[tuple], shift: int) -> list[np.ndarray]:
+    """Coordinates of the points whose leading bits of the distance lie between each start's ends."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            x = _coordinates(batch)
+            for t, (_, d2) in enumerate(_distances(x, shapes)):
+                bits = d2.view(np.int64) >> shift
+                keep = (bits >= ends[t][0]) & (bits <= ends[t][1])
+                parts = [np.full(int(keep.sum()), t), *(c[keep] for c in x)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], names=["t", *AXES])
+
+    got = points.mapInArrow(run, "t long, x double, y double, z double").toArrow()
+    t, *x = (got.column(c).to_numpy() for c in ("t", *AXES))
+    x = np.column_stack(x)
+    return [x[t == k] for k in range(len(shapes))]
+
+
+def from_band(band: dict | None, center, inverse, h: int) -> dict | None:
+    """:func:`innermost` under a shape near the band's own, from the band alone; None where it cannot be told.
+
+    Distances under the two shapes bound each other, A x and B x by the norms of A B^-1 and B A^-1 and the centers' way.
+    While all nearer points than the band's are certain to stay within the h-th distance, and all farther ones without,
+    the h nearest are the nearer ones and the first of the band.
+    """
+    if band is None or not 0 < h - band["n"] <= len(band["points"]):
+        return None
+    x = band["points"]
+    d2 = next(_distances(list(x.T), [(center, inverse)]))[1]
+    order = np.lexsort((x[:, 2], x[:, 1], x[:, 0], d2))[: h - band["n"]]
+    radius = float(d2[order[-1]])
+    before, (near, far) = np.asarray(band["shape"][0], float), band["ends"]
+    try:
+        now, then = (np.linalg.cholesky((w + w.T) / 2).T for w in (np.asarray(inverse), np.asarray(band["shape"][1])))
+    except np.linalg.LinAlgError:
+        return None
+    grown, shrunk = np.linalg.norm(now @ np.linalg.inv(then), 2), np.linalg.norm(then @ np.linalg.inv(now), 2)
+    way = before - center
+    if band["n"] and not grown * near + np.linalg.norm(now @ way) < math.sqrt(radius) * (1 - 1e-9):
+        return None
+    if not (far - np.linalg.norm(then @ way)) / shrunk > math.sqrt(radius) * (1 + 1e-9):
+        return None
+    at = x[order] - before
+    sums = band["sums"] + np.concatenate([at.sum(axis=0), [(at[:, i] * at[:, j]).sum() for i, j in PAIRS]])
+    _, mean, cov = _finished((h, sums[:3], sums[3:], before))
+    return {"center": mean, "scatter": cov, "radius": radius}
+
+
+def _step(rows: DataFrame, v: list[Column], shapes: dict[int, tuple], h: int, held: dict[int, dict | None]) -> list[dict]:
+    """:func:`innermost` of each start: by its band as long as that tells, else by a new band, else by all points."""
+    found = {k: from_band(held.get(k), *shape, h) for k, shape in shapes.items()}
+    lost = [k for k in shapes if found[k] is None]
+    if lost:
+        for k, band in zip(lost, bands(rows, v, [shapes[k] for k in lost], h)):
+            held[k] = band
+            found[k] = from_band(band, *shapes[k], h)
+        lost = [k for k in lost if found[k] is None]
+    if lost:
+        for k, new in zip(lost, innermost(rows, v, [shapes[k] for k in lost], h)):
+            found[k] = new
+    return [found[k] for k in shapes]
+
+
 def concentrate_big(rows: DataFrame, v: list[Column], first: list[dict], shape, h: int, most: int = 200) -> list[dict | None]:
     """C-steps of several starts at once, each to its own end.
 
     ``first`` holds center and scatter by start; ``shape`` makes of a subset's covariance the scatter that distances are
     taken by.  A step that changes no moment beyond rounding kept its subset: one exchanged point moves them by far more.
+    Steps are small after the first ones, so most are taken from the points about the h-th distance, without a pass.
     """
+    held: dict[int, dict | None] = {}
     state: list = [None] * len(first)
     at = [dict(s) for s in first]
     going = list(range(len(first)))
@@ -515,7 +624,7 @@ def concentrate_big(rows: DataFrame, v: list[Column], first: list[dict], shape,
                 going.remove(k)
         if not going:
             break
-        found = innermost(rows, v, [shapes[k] for k in going], h)
+        found = _step(rows, v, {k: shapes[k] for k in going}, h, held)
         for k, new in zip(list(going), found):
             new = new | {"scatter": shape(new["scatter"])}
             det, last = float(np.linalg.det(new["scatter"])), state[k]
