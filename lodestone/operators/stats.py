@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import linalg
+from lodestone.functions.ranking import rank_runs
+from lodestone.functions.store import cut
 
 
 def paired_contrast(rows: DataFrame, arm: str, base: str, target: str, keys: list[str], metric: str) -> DataFrame:
@@ -142,9 +144,10 @@ def flipped_share(sums: DataFrame, value: str) -> DataFrame:
 def signed_rank_sums(rows: DataFrame, stratum: list[str], block: list[str], value: str) -> DataFrame:
     """By block the sum of signed mid-ranks of the magnitudes within a stratum; zeros are dropped.
 
-    Mid-ranks come from counts of equal magnitudes, so ties need no look at each other.
+    Mid-ranks come from counts of equal magnitudes, so ties need no look at each other.  The rows are written once: the
+    counts meet them by magnitude, and sums that are added up again may differ in their last bit.
     """
-    some = rows.filter(F.col(value) != 0).withColumn("_m", F.abs(value))
+    some = cut(rows.filter(F.col(value) != 0).withColumn("_m", F.abs(value)), "magnitudes")
     counts = some.groupBy(*stratum, "_m").agg(F.count("*").alias("_c"))
     below = F.sum("_c").over(Window.partitionBy(*stratum).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select(*stratum, "_m", (F.coalesce(below, F.lit(0)) + (F.col("_c") + 1) / 2).alias("_r"))

@@ -26,3 +26,19 @@ def test_concentration_by_bands(spark, monkeypatch, band):
         assert np.allclose(a["center"], b["center"], atol=1e-10) and np.allclose(a["scatter"], b["scatter"], rtol=1e-8, atol=1e-10)
     if band == 50_000:
         assert max(b["steps"] for b in batch) > 3 * len(passes)
+
+
+def test_equal_cases_have_equal_means(spark, tmp_path):
+    """Suppliers with the same lines in another order: their means and differences are the same to the last bit."""
+    from lodestone.plans import analysis
+
+    rng = np.random.default_rng(9)
+    lines = [(int(s), "RN"[k % 2], "F", float(rng.integers(10_000, 9_000_000) / 100), float(rng.integers(1, 50))) for s in range(12) for k in range(80)]
+    rows = []
+    for copy in range(5):
+        rows += [(12 * copy + s, *rest) for s, *rest in (lines[i] for i in rng.permutation(len(lines)))]
+    schema = "l_suppkey long, l_returnflag string, l_linestatus string, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    deltas = analysis._deltas(spark, str(tmp_path))
+    assert deltas.count() == 60 and deltas.select("delta").distinct().count() == 12
+    assert analysis.sign_flip_test(spark, str(tmp_path)).first()["blocks"] == 11
