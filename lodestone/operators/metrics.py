@@ -119,23 +119,13 @@ def recall_in_window(ordered: DataFrame, k: int = 8, window: int = 64) -> DataFr
 
 
 def kendall_tau(a: DataFrame, b: DataFrame, clean: int) -> DataFrame:
-    """Concordant and discordant pairs and tau of two orders over the points below ``clean``.
+    """Concordant and discordant pairs and tau of two orders over the points below ``clean``; null for fewer than two points.
 
-    Inversions are counted by merging: a task takes a range of the first order and counts its own; pairs of
-    ranges are counted from their sorted second ranks.
+    Pairs are counted by :func:`kendall_tau_big`, which forms none.
     """
-    both = (
-        a.select("raw_index", F.col("rank").alias("p"))
-        .join(b.select("raw_index", F.col("rank").alias("q")), "raw_index")
-        .filter(F.col("raw_index") < clean)
-    )
-    first, second = both.alias("a"), both.alias("b")
-    pairs = first.join(second, F.col("a.p") < F.col("b.p"))
-    up = F.count_if(F.col("a.q") < F.col("b.q"))
-    down = F.count_if(F.col("a.q") > F.col("b.q"))
-    return pairs.agg(up.alias("concordant"), down.alias("discordant")).withColumn(
-        "tau", (F.col("concordant") - F.col("discordant")) / (F.col("concordant") + F.col("discordant"))
-    )
+    up, down = kendall_tau_big(a, b, clean)
+    tau = (up - down) / (up + down) if up + down else None
+    return a.sparkSession.createDataFrame([(up, down, tau)], "concordant long, discordant long, tau double")
 
 
 def inversions(q: np.ndarray) -> int:

@@ -42,3 +42,15 @@ def test_equal_cases_have_equal_means(spark, tmp_path):
     deltas = analysis._deltas(spark, str(tmp_path))
     assert deltas.count() == 60 and deltas.select("delta").distinct().count() == 12
     assert analysis.sign_flip_test(spark, str(tmp_path)).first()["blocks"] == 11
+
+
+def test_tau_forms_no_pairs(spark):
+    from lodestone.operators import metrics
+
+    a = spark.createDataFrame([(i, i) for i in range(50)], "raw_index long, rank long")
+    b = spark.createDataFrame([(i, (7 * i) % 50) for i in range(50)], "raw_index long, rank long")
+    got = metrics.kendall_tau(a, b, 50)
+    down = sum((7 * i) % 50 > (7 * j) % 50 for i in range(50) for j in range(i + 1, 50))
+    assert tuple(got.first()) == (1225 - down, down, pytest.approx((1225 - 2 * down) / 1225))
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert tuple(metrics.kendall_tau(a, b, 1).first()) == (0, 0, None)
