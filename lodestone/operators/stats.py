@@ -155,13 +155,23 @@ def signed_rank_sums(rows: DataFrame, stratum: list[str], block: list[str], valu
 
 
 def bootstrap_by_group(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """Median and percentile interval of each group, a task for each."""
+#: Values that a resampling task draws at once.
+AT_ONCE = 4_000_000
+
+
+    """Median and percentile interval of each group, a task for each.
+
+    A task holds its group's values and ``AT_ONCE`` drawn ones: resamples follow each other in one stream of draws, so
+    they come out as if they were drawn together.
+    """
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(pdf[value].to_numpy(float))
         rng = np.random.default_rng(seed)
-        medians = np.sort(np.median(rng.choice(v, size=(draws, len(v))), axis=1))
+        each = max(AT_ONCE // len(v), 1)
+        sizes = [min(each, draws - k) for k in range(0, draws, each)]
+        medians = np.sort(np.concatenate([np.median(rng.choice(v, size=(m, len(v))), axis=1) for m in sizes]))
         return pd.DataFrame(
             {
                 group: [pdf[group].iloc[0]], "n": [len(v)], "median": [float(np.median(v))],

@@ -54,3 +54,16 @@ def test_tau_forms_no_pairs(spark):
     assert tuple(got.first()) == (1225 - down, down, pytest.approx((1225 - 2 * down) / 1225))
     assert "Join" not in got._jdf.queryExecution().toString()
     assert tuple(metrics.kendall_tau(a, b, 1).first()) == (0, 0, None)
+
+
+def test_resamples_in_parts(spark, monkeypatch):
+    """Resamples drawn a few at a time are those drawn together, and none of them is held whole."""
+    from lodestone.operators import stats
+
+    values = np.random.default_rng(1).normal(size=301)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0)], "g string, v double")
+    draws = np.sort(np.median(np.random.default_rng(1).choice(np.sort(values), size=(200, 301)), axis=1))
+    for most in (4_000_000, 301 * 7, 1):
+        monkeypatch.setattr(stats, "AT_ONCE", most)
+        got = {r["g"]: r for r in stats.bootstrap_by_group(df, "g", "v", 200, 1).collect()}
+        assert (got["a"]["low"], got["a"]["high"]) == (draws[5], draws[195]) and got["b"]["low"] == 1.0
