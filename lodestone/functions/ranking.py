@@ -67,11 +67,11 @@ def order_statistics(rows: DataFrame, wanted: list[tuple[Column, int]]) -> list[
     return [got[0] for got in rank_runs(rows, [(c, k, k) for c, k in wanted])]
 
 
-def rank_runs(rows: DataFrame, wanted: list[tuple[Column, int, int]]) -> list[tuple[float, float]]:
-    """The values of ranks a and b of each (column, a, b)."""
+def rank_runs(rows: DataFrame, wanted: list[tuple]) -> list[tuple]:
+    """The values of ranks a, b, ... of each (column, a, b, ...); nulls stand after all values."""
     if not wanted:
         return []
-    values = rows.select(*(c.cast("double").alias(f"v{t}") for t, (c, _, _) in enumerate(wanted)))
+    values = rows.select(*(c.cast("double").alias(f"v{t}") for t, (c, *_) in enumerate(wanted)))
     state = {(t, k): {"left": k, "prefix": None, "n": math.inf} for t, (_, *ranks) in enumerate(wanted) for k in ranks}
     for shift, last in zip(SHIFTS, (None, *SHIFTS)):
         asked = [(t, x) for t, x in sorted({(t, s["prefix"]) for (t, _), s in state.items()}, key=str)]

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import linalg
 from lodestone.functions.ranking import rank_runs
 from lodestone.functions.store import cut
+from lodestone.operators import linalg
 
 
 def paired_contrast(rows: DataFrame, arm: str, base: str, target: str, keys: list[str], metric: str) -> DataFrame:
@@ -154,11 +155,11 @@ def signed_rank_sums(rows: DataFrame, stratum: list[str], block: list[str], valu
     return some.join(ranks, [*stratum, "_m"]).groupBy(*block).agg(F.sum(F.signum(value) * F.col("_r")).alias("signed"))
 
 
-def bootstrap_by_group(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
 #: Values that a resampling task draws at once.
 AT_ONCE = 4_000_000
 
 
+def bootstrap_by_group(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
     """Median and percentile interval of each group, a task for each.
 
     A task holds its group's values and ``AT_ONCE`` drawn ones: resamples follow each other in one stream of draws, so
@@ -184,10 +185,36 @@ AT_ONCE = 4_000_000
     return rows.select(group, value).groupBy(group).applyInPandas(one, schema)
 
 
+#: Groups whose percentiles are selected by rounds of counts; more groups are gathered one by one.
+SELECTED = 64
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50, p95 and p99 by linear interpolation."""
-    q = lambda p: F.percentile(value, p)
-    return rows.groupBy(*by).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    """p50, p95 and p99 by linear interpolation.
+
+    Few groups may be huge: theirs come from radix selection, whose rounds send counts only.  With more than ``SELECTED``
+    groups each is gathered, as counts of its distinct values.
+    """
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    clean = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    groups = rows.groupBy(*by).agg(F.count(value).alias("_n"), F.count_if(clean).alias("_clean")).limit(SELECTED + 1).collect()
+    if len(groups) > SELECTED or any(g["_n"] != g["_clean"] for g in groups):  # values that are not finite have no rounds
+        return rows.groupBy(*by).agg(*(F.percentile(value, p).alias(c) for c, p in shares.items()))
+    places = lambda n: [math.floor(p * (n - 1)) + k for p in shares.values() for k in (0, 1)]
+    wanted = []
+    for g in groups:
+        if g["_n"]:
+            inside = [F.col(c).eqNullSafe(F.lit(g[c])) for c in by]
+            # what is not of the group becomes a NaN, which stands after all values
+            wanted.append((F.when(reduce(lambda a, b: a & b, inside), F.col(value)), *(min(k, g["_n"] - 1) for k in places(g["_n"]))))
+    found = iter(rank_runs(rows, wanted))
+    out = []
+    for g in groups:
+        ends = next(found) if g["_n"] else ()
+        parts = [p * (g["_n"] - 1) % 1 for p in shares.values()]
+        out.append((*(g[c] for c in by), *(lo + (hi - lo) * part for lo, hi, part in zip(ends[::2], ends[1::2], parts))) if ends else (*(g[c] for c in by), None, None, None))
+    kinds = dict(rows.dtypes)
+    return rows.sparkSession.createDataFrame(out, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"{c} double" for c in shares)]))
 
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:

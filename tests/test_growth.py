@@ -67,3 +67,20 @@ def test_resamples_in_parts(spark, monkeypatch):
         monkeypatch.setattr(stats, "AT_ONCE", most)
         got = {r["g"]: r for r in stats.bootstrap_by_group(df, "g", "v", 200, 1).collect()}
         assert (got["a"]["low"], got["a"]["high"]) == (draws[5], draws[195]) and got["b"]["low"] == 1.0
+
+
+def test_percentiles_by_selection(spark, monkeypatch):
+    """Few huge groups: no values are gathered, and results are those of the aggregate; a null group and nulls too."""
+    from lodestone.operators import stats
+
+    rng = np.random.default_rng(2)
+    rows = [("ab"[k % 2], float(v)) for k, v in enumerate(rng.normal(size=400))] + [(None, 3.0), (None, None), ("c", None), ("d", -0.5), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    monkeypatch.setattr(stats, "SELECTED", 0)
+    gathered = {r["g"]: r for r in stats.percentiles(df, ["g"], "v").collect()}
+    monkeypatch.setattr(stats, "SELECTED", 64)
+    selected = stats.percentiles(df, ["g"], "v")
+    assert "percentile" not in selected._jdf.queryExecution().toString()
+    for r in selected.collect():
+        assert r.asDict() == pytest.approx(gathered[r["g"]].asDict())
+    assert selected.count() == len(gathered) == 5 and selected.columns == ["g", "p50", "p95", "p99"]
