@@ -114,36 +114,42 @@ def masks(bits: tuple[int, int, int]) -> list[int]:
     return [sum(1 << a for a in range(3) if bits[a] > level) for level in range(max(bits) - 1, -1, -1)]
 
 
+#: Levels that one look-up takes.
+STRIDE = 3
+
+
+@cache
+def strides(group: tuple[int, ...]) -> tuple[int, ...]:
+    """Several levels at once: by state and each axis's bits of these levels, the appended bits and then the next state."""
+    n = len(group)
+    place = np.arange(24 << 3 * n)
+    state, key = place >> 3 * n, np.zeros(len(place), np.int64)
+    for k, mask in enumerate(group):
+        append, follow, _ = (np.array(t) for t in steps(mask))
+        label = sum((place >> (2 - axis) * n + n - 1 - k & 1) << axis for axis in range(3))
+        at = state * 8 + label
+        key = key << bin(mask).count("1") | append[at]
+        state = follow[at]
+    return tuple((key << 5 | state).tolist())
+
+
 def hilbert(q: list[Column], bits: tuple[int, int, int]) -> Column:
-    """Compact Hilbert key; with equal depths the standard one."""
+    """Compact Hilbert key; with equal depths the standard one.  A look-up for each ``STRIDE`` levels, in generated code."""
     check_depths(bits)
-    if not max(bits):
-        return F.lit(0).cast("long")
     levels = masks(bits)
-    used = sorted(set(levels))
-    append = F.array(*(F.lit(x) for m in used for x in steps(m)[0]))
-    follow = F.array(*(F.lit(x) for m in used for x in steps(m)[1]))
-    plan = F.array(
-        *(
-            F.struct(
-                F.lit(max(bits) - 1 - k).alias("level"),
-                F.lit(192 * used.index(m)).alias("table"),
-                F.lit(bin(m).count("1")).alias("n"),
-            )
-            for k, m in enumerate(levels)
-        )
-    )
-    x, y, z = (c.cast("long") for c in q)
-
-    def step(state: Column, at: Column) -> Column:
-        bit = lambda c: F.expr("1L").bitwiseAND(F.call_function("shiftright", c, at["level"])).cast("int")
-        label = bit(x) + bit(y) * 2 + bit(z) * 4
-        place = at["table"] + state["s"] * 8 + label
-        key = F.call_function("shiftleft", state["key"], at["n"]) + F.get(append, place)
-        return F.struct(F.get(follow, place).alias("s"), key.cast("long").alias("key"))
-
-    begun = F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("key"))
-    return F.aggregate(plan, begun, step, lambda s: s["key"])
+    key, found = F.lit(0).cast("long"), F.lit(0)
+    for k in range(0, len(levels), STRIDE):
+        group = tuple(levels[k : k + STRIDE])
+        n, low = len(group), max(bits) - k - len(group)
+        # as one text: a literal for each number would be as many calls
+        table = F.split(F.lit(",".join(map(str, strides(group)))), ",").cast("array<int>")
+        place = F.shiftleft(found.bitwiseAND(F.lit(31)), 3 * n)
+        for axis, c in enumerate(q):
+            part = F.shiftright(c.cast("long"), low).bitwiseAND(F.lit((1 << n) - 1).cast("long")).cast("int")
+            place = place.bitwiseOR(F.shiftleft(part, (2 - axis) * n))
+        found = F.get(table, place)
+        key = F.shiftleft(key, sum(bin(m).count("1") for m in group)).bitwiseOR(F.shiftright(found, 5).cast("long"))
+    return key
 
 
 def hilbert_array(q: np.ndarray, bits: tuple[int, int, int]) -> np.ndarray:
