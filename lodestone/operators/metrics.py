@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,16 +74,71 @@ def block_diameter(ordered: DataFrame, block: int = 32) -> DataFrame:
 
 
 def l1_l2_locality(ordered: DataFrame, ceiling: float = float("inf"), gaps: int = 64) -> DataFrame:
-    """Greatest and least d^3 / gap over all pairs of ranks.
+    """Greatest and least d^3 / gap over all pairs of ranks; null for fewer than two points.
 
-    Pairs are taken by growing rank gap.  Beyond the gap where diagonal^3 / gap cannot beat the best
-    ratio, no pair can, so the greatest needs a few bands; the least is 0 where two points coincide.  It is
-    bounded below by the closest pair otherwise, which the full join of a small cloud gives.
+    Exact for a cloud of any size, without forming all pairs: see :func:`_greatest_ratio` and :func:`_least_ratio`.
     """
-    a, b = ordered.alias("a"), ordered.alias("b")
-    pairs = a.join(b, F.col("a.rank") < F.col("b.rank"))
-    ratio = F.pow(distance("a", "b"), F.lit(3.0)) / (F.col("b.rank") - F.col("a.rank"))
-    return pairs.agg(F.max(ratio).alias("l1"), F.min(ratio).alias("l2"))
+    spark = ordered.sparkSession
+    ordered = cut(ordered.select("rank", "x", "y", "z"), "path")
+    spans = [F.max(c) - F.min(c) for c in ("x", "y", "z")]
+    n, diagonal = ordered.agg(F.count("*"), F.sqrt(sum(s * s for s in spans))).first()
+    if n < 2:
+        return spark.createDataFrame([(None, None)], "l1 double, l2 double")
+    steps = ordered.alias("a").join(ordered.alias("b"), F.col("a.rank") + 1 == F.col("b.rank")).select(distance("a", "b").alias("d"))
+    cube = F.pow("d", F.lit(3.0))
+    most, least, short = steps.agg(F.max(cube), F.min(cube), F.percentile_approx("d", 0.01)).first()
+    return spark.createDataFrame([(_greatest_ratio(ordered, n, most), _least_ratio(ordered, n, least, short, diagonal))], "l1 double, l2 double")
+
+
+def _ratio() -> Column:
+    return F.pow(distance("a", "b"), F.lit(3.0)) / (F.col("b.rank") - F.col("a.rank"))
+
+
+def _greatest_ratio(ordered: DataFrame, n: int, best: float) -> float:
+    """The greatest ratio, at least ``best``: only blocks of ranks are paired that can hold a greater one.
+
+    Blocks have sqrt(n) points, so there are n / 2 pairs of them.  A pair's boxes and the ranks between bound its ratio
+    from above; the blocks' first points, exactly paired, bound the best from below.
+    """
+    size = max(math.isqrt(n), 16)
+    block = F.expr(f"rank div {size}")
+    boxes = ordered.groupBy(block.alias("block")).agg(
+        *(f(c).alias(k + c) for c in ("x", "y", "z") for k, f in (("lo_", F.min), ("hi_", F.max))),
+        F.min("rank").alias("from"), F.max("rank").alias("to"), F.min_by(F.struct("x", "y", "z"), "rank").alias("first"),
+    )
+    boxes = cut(boxes.select("*", F.col("from").alias("rank"), "first.*"), "boxes")
+    pairs = boxes.alias("a").join(F.broadcast(boxes.alias("b")), F.col("a.block") <= F.col("b.block"))  # sqrt(n) boxes
+    best = max(best, pairs.filter("a.block < b.block").agg(F.max(_ratio())).first()[0] or 0.0)
+    wide = [F.greatest(F.col(f"b.hi_{c}") - F.col(f"a.lo_{c}"), F.col(f"a.hi_{c}") - F.col(f"b.lo_{c}")) for c in ("x", "y", "z")]
+    bound = F.pow(F.sqrt(sum(w * w for w in wide)), F.lit(3.0)) / F.greatest(F.col("b.from") - F.col("a.to"), F.lit(1))
+    able = pairs.filter(bound * (1 + 1e-9) >= best).select(F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    points = ordered.withColumn("block", block)
+    found = able.join(points.alias("a"), F.col("i") == F.col("a.block")).join(points.alias("b"), F.col("j") == F.col("b.block"))
+    found = found.filter(F.col("a.rank") < F.col("b.rank"))
+    return max(best, found.agg(F.max(_ratio())).first()[0] or 0.0)
+
+
+def _least_ratio(ordered: DataFrame, n: int, best: float, reach: float, diagonal: float) -> float:
+    """The least ratio, at most ``best``: a gap is below n, so no pair farther apart than (best (n - 1))^(1/3) has a lesser one.
+
+    Pairs within ``reach`` are met by cells of that side; it doubles until it is as far as the best found asks for.
+    """
+    while best:
+        asked = (best * (n - 1)) ** (1 / 3) * (1 + 1e-9)
+        side = max(min(reach, asked), diagonal * 1e-15)
+        cell = [F.floor(F.col(c) / side) for c in ("x", "y", "z")]
+        rows = ordered.select("rank", "x", "y", "z", *(c.alias(f"c{k}") for k, c in enumerate(cell)))
+        around = rows
+        for k in range(3):
+            around = around.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)))
+        on = [F.col(f"a.c{k}") == F.col(f"b.c{k}") for k in range(3)]
+        pairs = around.alias("a").join(rows.alias("b"), [*on, F.col("a.rank") < F.col("b.rank")])
+        least = pairs.agg(F.min(_ratio())).first()[0]
+        best = best if least is None else min(best, least)
+        if side >= asked:
+            break
+        reach = 2 * side
+    return best
 
 
 def l1_by_bands(ordered: DataFrame, first: int = 64) -> float:

@@ -98,3 +98,21 @@ def test_hilbert_keys_by_strides(spark, bits):
     got = np.array([tuple(r) for r in keys.collect()])
     assert (got[:, 3] == curves.hilbert_array(got[:, :3], bits)).all()
     assert "lambda" not in keys._jdf.queryExecution().toString()
+
+
+def test_locality_without_all_pairs(spark):
+    """Both ends of the ratio are those of all pairs, and no plan joins the points by the order of their ranks alone."""
+    from lodestone.operators import metrics
+
+    rng = np.random.default_rng(6)
+    line = np.column_stack([np.arange(300.0), np.zeros(300), np.zeros(300)])
+    lattice = np.array([(x, y, z) for x in range(7) for y in range(7) for z in range(7)], float)
+    clumps = np.vstack([rng.normal(size=(200, 3)), rng.normal(size=(150, 3)) * 1e-3 + 50])
+    for points in (line, lattice, clumps, rng.permutation(clumps), np.vstack([clumps[:60], clumps[:1]]), clumps[:2]):
+        df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "rank long, x double, y double, z double").coalesce(1)
+        a, b = np.triu_indices(len(points), 1)
+        ratios = np.sqrt(((points[a] - points[b]) ** 2).sum(axis=1)) ** 3 / (b - a)
+        got = metrics.l1_l2_locality(df)
+        assert tuple(got.first()) == (pytest.approx(ratios.max()), pytest.approx(ratios.min()))
+        assert "Join" not in got._jdf.queryExecution().toString()
+    assert tuple(metrics.l1_l2_locality(df.limit(1)).first()) == (None, None)
