@@ -71,7 +71,8 @@ def average_ranks(v: np.ndarray) -> np.ndarray:
 def normal_quantile(p: np.ndarray) -> np.ndarray:
     from statistics import NormalDist
 
-    return np.vectorize(NormalDist().inv_cdf, otypes=[float])(p)
+    kinds, at = np.unique(p, return_inverse=True)
+    return np.vectorize(NormalDist().inv_cdf, otypes=[float])(kinds)[at].reshape(np.shape(p))
 
 
 def _covariance(points: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def starts(points: np.ndarray, h: int) -> list[tuple[str, np.ndarray, np.ndarray
         "ogk": gk_covariance(z),
     }
     out = {k: (center, np.outer(scale, scale) * _correlation(c)) for k, c in shapes.items()}
-    inner = points[np.sort(_closest(length[:, 0], points)[:h])]
+    inner = points[_inner(length[:, 0], points, h)]
     out["bacon"] = inner.mean(axis=0), _covariance(inner)
     order = ("tanh", "spearman", "normal_score", "spatial_sign", "bacon", "ogk")
     return [(k, out[k][0], *linalg.regularized(out[k][1])) for k in order]
@@ -124,9 +125,22 @@ def _closest(distance: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.lexsort((np.arange(len(points)), points[:, 2], points[:, 1], points[:, 0], distance))
 
 
-def concentrate(points, center, scatter, h: int, most: int = 200, tolerance: float = 1e-12) -> dict | None:
-    """C-steps: the h closest points by Mahalanobis distance give the next location and scatter."""
-    before, det = None, math.inf
+def _inner(distance: np.ndarray, points: np.ndarray, h: int) -> np.ndarray:
+    """The first h places of :func:`_closest`, ascending: sorted out only where the h-th distance is shared."""
+    if 0 < h < len(distance):
+        inside, outside = np.partition(distance, (h - 1, h))[h - 1 : h + 1]
+        if inside < outside:
+            return np.flatnonzero(distance <= inside)
+    return np.sort(_closest(distance, points)[:h])
+
+
+def concentrate(points, center, scatter, h: int, most: int = 200, tolerance: float = 1e-12, seen: set | None = None) -> dict | None:
+    """C-steps: the h closest points by Mahalanobis distance give the next location and scatter.
+
+    A subset says all of what follows it.  So a start that meets one of ``seen``, the subsets of starts that ended, would end
+    as that start did, and gives None.
+    """
+    before, det, met = None, math.inf, set()
     state = None
     for k in range(most):
         try:
@@ -134,7 +148,7 @@ def concentrate(points, center, scatter, h: int, most: int = 200, tolerance: flo
         except np.linalg.LinAlgError:
             break
         d = points - center
-        inner = np.sort(_closest(np.einsum("ij,jk,ik->i", d, inverse, d), points)[:h])
+        inner = _inner(np.einsum("ij,jk,ik->i", d, inverse, d), points, h)
         if before is not None and np.array_equal(inner, before):
             state["converged"] = True
             break
@@ -142,8 +156,14 @@ def concentrate(points, center, scatter, h: int, most: int = 200, tolerance: flo
         now = float(np.linalg.det(cov))
         if now > det * (1 + tolerance) + tolerance:
             break
+        if seen is not None:
+            if inner.tobytes() in seen:
+                return None
+            met.add(inner.tobytes())
         state = {"center": location, "scatter": cov, "subset": inner, "det": now, "steps": k + 1, "converged": False}
         before, det, center, scatter = inner, now, location, cov
+    if seen is not None and state and state["converged"]:
+        seen |= met
     return state
 
 
@@ -169,9 +189,9 @@ def det_mcd(points: np.ndarray, alpha: float | None = None, least_n: int = 15) -
         return {"policy": "disabled_small_n", "h": h}
     if not np.isfinite(points).all() or rank_deficient(points):
         return {"policy": "disabled_rank_deficient", "h": h}
-    best = None
+    best, seen = None, set()
     for name, center, scatter, ridge in starts(points, h):
-        found = concentrate(points, center, scatter, h)
+        found = concentrate(points, center, scatter, h, seen=seen)
         if found and (best is None or found["det"] < best["det"]):
             best = found | {"start": name, "ridge": ridge}
     if best is None:
@@ -234,22 +254,29 @@ def mrcd(points: np.ndarray, alpha: float = 0.5, condition: float = 50.0, least_
     first = []
     for _, location, scatter, _ in starts(z, h):
         d = z - location
-        inner = z[np.sort(_closest(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d), z)[:h])]
+        inner = z[_inner(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter), d), z, h)]
         first.append((inner.mean(axis=0), _covariance(inner)))
     # each start's closest points say how much ridge the condition needs
     rho = common_rho([rho_for(s, factor, condition, least_rho) for _, s in first])
-    best = None
+    best, seen = None, set()
     for location, scatter in first:
         shape = rho * np.eye(3) + (1 - rho) * factor * scatter
-        before = None
+        before, met, known = None, set(), False
         for _ in range(200):
             d = z - location
-            inner = np.sort(_closest(np.einsum("ij,jk,ik->i", d, np.linalg.inv(shape), d), z)[:h])
+            inner = _inner(np.einsum("ij,jk,ik->i", d, np.linalg.inv(shape), d), z, h)
             if before is not None and np.array_equal(inner, before):
+                seen |= met
+                break
+            known = inner.tobytes() in seen
+            if known:  # from here on as the start that was there before
                 break
+            met.add(inner.tobytes())
             before = inner
             location = z[inner].mean(axis=0)
             shape = rho * np.eye(3) + (1 - rho) * factor * _covariance(z[inner])
+        if known:
+            continue
         det = float(np.linalg.det(shape))
         if best is None or det < best[0]:
             best = det, location, shape, inner

@@ -116,3 +116,19 @@ def test_locality_without_all_pairs(spark):
         assert tuple(got.first()) == (pytest.approx(ratios.max()), pytest.approx(ratios.min()))
         assert "Join" not in got._jdf.queryExecution().toString()
     assert tuple(metrics.l1_l2_locality(df.limit(1)).first()) == (None, None)
+
+
+def test_starts_that_meet_go_on_once(monkeypatch):
+    """Starts that reach a subset of an earlier one are not followed to the same end again, and the frame is the same."""
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(size=(150, 3)) * [4, 2, 1], rng.normal(size=(20, 3)) + 30])
+    h = robust.h_size(len(points), 0.5)
+    ends = [robust.concentrate(points, c, s, h) for _, c, s, _ in robust.starts(points, h)]
+    steps, plain = [], robust._covariance
+    monkeypatch.setattr(robust, "_covariance", lambda p: steps.append(len(p)) or plain(p))
+    found = robust.det_mcd(points, 0.5)
+    assert found["det"] == min(e["det"] for e in ends)
+    assert sum(n == h for n in steps) < sum(e["steps"] for e in ends)
+    ties = np.repeat([1.0, 2.0, 3.0, 4.0], 5)
+    for k in (1, 5, 7, 20):
+        assert (robust._inner(ties, points[:20], k) == np.sort(robust._closest(ties, points[:20])[:k])).all()
