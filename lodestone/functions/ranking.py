@@ -23,11 +23,14 @@ _PLACE_BITS = 33
 SHIFTS, FEW = (46, 34, 22, 10, 0), 20_000
 
 
-def with_row_number(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """``df`` with the 0-based place ``name`` of each row in ``order``, which must be total up to equal rows."""
+def with_row_number(df: DataFrame, order: list[str | Column], name: str, kept: list[str | Column] | None = None) -> DataFrame:
+    """``df`` with the 0-based place ``name`` of each row in ``order``, which must be total up to equal rows.
+
+    With ``kept`` only those columns are written and returned beside the place.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = cut(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = cut(sorted_rows.select(*(["*"] if kept is None else kept), F.monotonically_increasing_id().alias("_at")), "placed")
     part = F.shiftright("_at", _PLACE_BITS)
     starts = _starts(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")))
     place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))

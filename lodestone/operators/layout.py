@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.store import cut
 from lodestone.schema import PAGE
 
 AXES = ("x", "y", "z")
 #: Windows broadcast at once.
 WINDOWS_AT_ONCE = 10_000
+#: Pairs of a file and a window that it may answer, broadcast at once.
+PAIRS = 1_000_000
 
 
 def with_pages(ordered: DataFrame, page: int = PAGE) -> DataFrame:
@@ -35,7 +38,10 @@ def page_directory(paged: DataFrame, *more: Column) -> DataFrame:
 
 def page_checksum() -> Column:
     """Combined hashes of a page's records: any changed, lost, repeated or added one changes it."""
-    return F.sum(F.xxhash64("rank", "raw_index", "key", *AXES).cast("decimal(38,0)")).alias("checksum")
+    h = F.xxhash64("rank", "raw_index", "key", *AXES)
+    # the hashes' sum from the sums of their halves: a decimal for each page, not for each record
+    high, low = (F.sum(half).cast("decimal(20,0)") for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(38,0)").alias("checksum")
 
 
 def _every(conditions: list[Column]) -> Column:
@@ -99,12 +105,20 @@ def pruned_query(paged: DataFrame, directory: DataFrame, windows: DataFrame) ->
     """(query_id, raw_index) by candidate pages, each point checked exactly.
 
     Of a stored layout only the files are opened that hold a candidate page; within them row groups are skipped by page.
+    Its points meet the windows of their file, which are few enough to be broadcast, so that no point is shuffled: a window
+    that holds a point meets the box of its page.  Of more than ``PAIRS`` files and windows the points are dealt by page.
     """
     found = candidates(directory, windows)
     if "file_id" in paged.columns:
-        pages = found.agg(F.collect_set(_file_of(F.col("page_id"), directory)), F.min("page_id"), F.max("page_id")).first()
+        bounds = [f"{m}_{a}" for m in ("min", "max") for a in AXES]
+        asked = found.groupBy(_file_of(F.col("page_id"), directory).alias("file_id"), "query_id", *bounds).agg(
+            F.min("page_id").alias("first"), F.max("page_id").alias("last")
+        )
+        pages = asked.agg(F.collect_set("file_id"), F.min("first"), F.max("last"), F.count("*")).first()
         files = sorted(pages[0])  # a number for each file that is needed
         paged = paged.filter(F.col("file_id").isin(files) & F.col("page_id").between(pages[1] or 0, pages[2] if files else -1))
+        if pages[3] <= PAIRS:
+            return paged.join(F.broadcast(asked.alias("q")), "file_id").filter(contains()).select("query_id", "raw_index")
     return paged.join(found.alias("q"), "page_id").filter(contains()).select("query_id", "raw_index")
 
 
@@ -150,10 +164,12 @@ def write_layout(ordered: DataFrame, path: str, pages_per_file: int = 8192) -> N
     if pages_per_file < 1:
         raise ValueError("a file has a page at least")
     paged = with_pages(ordered).withColumn("file_id", F.expr(f"page_id div {pages_per_file}"))
-    paged.repartitionByRange("file_id").sortWithinPartitions("file_id", "rank").write.partitionBy("file_id").parquet(
-        f"{path}/points", compression="zstd"
-    )
+    parts = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = paged.repartitionById(parts, (F.col("file_id") % parts).cast("int"))  # evenly, without a sample
+    dealt.sortWithinPartitions("file_id", "rank").write.partitionBy("file_id").parquet(f"{path}/points", compression="zstd")
     directory = page_directory(paged, page_checksum()).withColumn("pages_per_file", F.lit(pages_per_file).cast("long"))
+    # written before it is sorted, whose sample would make it twice
+    directory = cut(directory, "directory")
     directory.repartitionByRange("page_id").sortWithinPartitions("page_id").write.parquet(f"{path}/directory")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.ranking import with_row_number
-from lodestone.functions.store import stored
+from lodestone.functions.store import kept, stored
 
 LINEITEM = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -18,20 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _points(lines: DataFrame, *more: str) -> DataFrame:
-    return lines.select(
-        *more,
-        F.col("l_quantity").alias("x"),
-        F.col("l_extendedprice").alias("y"),
-        F.col("l_discount").alias("z"),
-        F.col("l_suppkey").alias("cloud_id"),
-        F.col("l_returnflag").alias("flag"),
-    )
+#: What a point of the line-item cloud has, and the column that it comes from.
+POINT = {"x": "l_quantity", "y": "l_extendedprice", "z": "l_discount", "cloud_id": "l_suppkey", "flag": "l_returnflag"}
+
+
+def _point() -> list[Column]:
+    return [F.col(c).alias(name) for name, c in POINT.items()]
 
 
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quantity, price and discount of every line, unnumbered: for what does not read the index."""
-    return _points(table(spark, sf_dir, "lineitem"))
+    return table(spark, sf_dir, "lineitem").select(*_point())
 
 
 def lineitem_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +37,9 @@ def lineitem_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows are numbered once in a session and kept in the shared folder, for as long as the table's files stay as they are.
     """
     lines = table(spark, sf_dir, "lineitem")
-    number = lambda: _points(with_row_number(lines.select(*LINEITEM), list(LINEITEM), "raw_index"), "raw_index")
-    return stored(("lineitem_cloud", sf_dir), lines, number, "lineitem-cloud")
+    # numbering writes the rows, so they are kept as it wrote them
+    number = lambda: with_row_number(lines.select(*LINEITEM), list(LINEITEM), "raw_index", _point())
+    return kept(("lineitem_cloud", sf_dir), lines, number).select("raw_index", *POINT)
 
 
 def embed_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
