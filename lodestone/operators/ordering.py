@@ -78,10 +78,15 @@ def without_signed_zero(v: Column) -> Column:
     return F.when(v == 0, F.lit(0.0)).otherwise(v)
 
 
+def _index(cloud: DataFrame) -> list[str]:
+    """The index, where the cloud has one: what follows points alone does without."""
+    return [c for c in cloud.columns if c == "raw_index"]
+
+
 def checked(cloud: DataFrame) -> tuple[DataFrame, dict]:
     """The cloud with plain zeros, and its count, bounds and moments; a point that is not finite is an error."""
     axes = ("x", "y", "z")
-    cloud = cloud.select("raw_index", *(without_signed_zero(F.col(a)).alias(a) for a in axes))
+    cloud = cloud.select(*_index(cloud), *(without_signed_zero(F.col(a)).alias(a) for a in axes))
     bad = lambda a: F.col(a).isNull() | F.isnan(a) | (F.abs(a) == float("inf"))
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
     row = cloud.agg(
@@ -238,13 +243,14 @@ def keyed(cloud: DataFrame, config: OrderingConfig) -> tuple[DataFrame, dict]:
 
 
 def order_cloud(cloud: DataFrame, config: OrderingConfig | None = None) -> OrderedCloud:
-    """Order one cloud (raw_index, x, y, z) of any size."""
+    """Order one cloud (raw_index, x, y, z) of any size; without an index, equal points are not told apart."""
     config = config or OrderingConfig()
     cells, about = keyed(cloud, config)
     if config.name == "input":
         return OrderedCloud(cells.select(F.col("raw_index").alias("rank"), "raw_index", "key", "x", "y", "z"), about)
-    ranked = with_row_number(cells, ["key", "x", "y", "z", "raw_index"], "rank")
-    ordered = ranked.select("rank", "raw_index", "key", "x", "y", "z")
+    index, point = _index(cells), ["x", "y", "z"]
+    ranked = with_row_number(cells, ["key", *point, *index], "rank", [*index, "key", *point])
+    ordered = ranked.select("rank", *index, "key", *point)
     if config.refinement != "off":
         ordered = refine.refine_big(ordered, about["n"])
     return OrderedCloud(ordered, about)

@@ -249,7 +249,8 @@ DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
 
 
 def _ordered(spark, sf, config=HILBERT):
-    return order_cloud(lineitem_cloud(spark, sf), config).ordered
+    """The points in order, without their index: what is measured along a path does not tell equal points apart."""
+    return order_cloud(lineitem_points(spark, sf), config).ordered
 
 
 def _small(spark, sf):
@@ -265,7 +266,7 @@ def miad(spark, sf):
  flag = 'whole' AS valid FROM (VALUES ('whole'), ('one lost'), ('one twice')) t(flag)""")
 def checked_path(spark, sf):
     """The path length of an order, and 0 for the same order with a point lost or named twice."""
-    ordered = _ordered(spark, sf)
+    ordered = order_cloud(lineitem_cloud(spark, sf), HILBERT).ordered
     n = ordered.count()
     lost = ordered.filter(F.col("rank") != n // 2)
     twice = ordered.withColumn("raw_index", F.when(F.col("rank") == 1, F.lit(0).cast("long")).otherwise(F.col("raw_index")))
@@ -346,14 +347,14 @@ def kendall_tau_merged(spark, sf):
 @query(f"""{HILB}, g AS (SELECT count(*) AS c FROM keyed GROUP BY key) SELECT sum(CASE WHEN c > 1 THEN c ELSE 0 END)::BIGINT
  AS duplicated, max(c) AS largest_group, count(*) AS groups FROM g""")
 def dup_key_mass(spark, sf):
-    return metrics.duplicate_mass(keyed(lineitem_cloud(spark, sf), HILBERT)[0], "key")
+    return metrics.duplicate_mass(keyed(lineitem_points(spark, sf), HILBERT)[0], "key")
 
 
 @query(f"""{HILB}, g AS (SELECT key, count(*) AS c, count(DISTINCT (x, y, z)) AS kinds FROM keyed GROUP BY key)
  SELECT count(*) FILTER (c > 1 AND kinds = 1) AS duplicate_groups, count(*) FILTER (kinds > 1) AS mixed_groups,
  max(c) AS largest_group, max(kinds) AS most_kinds FROM g""")
 def shared_key_split(spark, sf):
-    groups = keyed(lineitem_cloud(spark, sf), HILBERT)[0].groupBy("key", "x", "y", "z").count()
+    groups = keyed(lineitem_points(spark, sf), HILBERT)[0].groupBy("key", "x", "y", "z").count()
     by_key = groups.groupBy("key").agg(F.sum("count").alias("c"), F.count("*").alias("kinds"))
     return by_key.agg(
         F.count_if((F.col("c") > 1) & (F.col("kinds") == 1)).alias("duplicate_groups"),
@@ -367,7 +368,7 @@ def shared_key_split(spark, sf):
  {", ".join(f"count(*) FILTER (q{c} IN (0, 1023)) AS boundary_{c}, count(*) FILTER ({c} <= l{c} OR {c} >= h{c}) AS saturated_{c}" for c in "xyz")}
  FROM cells, box""")
 def quant_diagnostics(spark, sf):
-    cells, about = keyed(lineitem_cloud(spark, sf), UNIFORM)
+    cells, about = keyed(lineitem_points(spark, sf), UNIFORM)
     counts = []
     for k, c in enumerate("xyz"):
         lo, hi = float(about["lo"][k]), float(about["hi"][k])
