@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.ranking import order_statistics
 from lodestone.functions.store import cut
 from lodestone.operators.neighbours import nearest
 
@@ -61,16 +62,48 @@ def block_diameter(ordered: DataFrame, block: int = 32) -> DataFrame:
     """Mean and 95th percentile (nearest rank) of the diameters of blocks of ranks; single points are skipped."""
     if block < 2:
         raise ValueError("a block has two points at least")
-    rows = ordered.withColumn("block", F.expr(f"rank div {block}")).select("block", "rank", "x", "y", "z")
-    a, b = rows.alias("a"), rows.alias("b")
-    # a block has a fixed number of points, so its pairs are few
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rank") < F.col("b.rank")))
-    widths = pairs.groupBy(F.col("a.block").alias("block")).agg(F.max(distance("a", "b")).alias("d"))
-    return widths.agg(
-        F.avg("d").alias("mean_diameter"),
-        F.expr("percentile_disc(0.95) within group (order by d)").alias("p95_diameter"),
-        F.count("*").alias("blocks"),
-    )
+    widths = cut(block_widths(ordered, block), "widths")
+    mean, n = widths.agg(F.avg("d"), F.count("*")).first()
+    p95 = order_statistics(widths, [(F.col("d"), max(math.ceil(0.95 * n) - 1, 0))])[0] if n else None
+    kind = "mean_diameter double, p95_diameter double, blocks long"
+    return ordered.sparkSession.createDataFrame([(mean, p95, n)], kind)
+
+
+def block_widths(ordered: DataFrame, block: int) -> DataFrame:
+    """(block, d): the diameter of each block of ranks with two points or more.
+
+    Runs of whole blocks are dealt to tasks, which meet each point with the next ones of its block, many blocks at a time.
+    """
+    import pyarrow as pa
+
+    def widths(rank: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
+        of = rank // block
+        most = np.full(len(of), -1.0)
+        for step in range(1, len(of)):
+            same = of[step:] == of[:-step]
+            if not same.any():
+                break
+            d = points[step:] - points[:-step]
+            square = d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2
+            pair = same & (rank[step:] != rank[:-step])
+            np.maximum(most[:-step], np.where(pair, square, -1.0), out=most[:-step])
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        most = np.maximum.reduceat(most, starts) if len(of) else most
+        some = most >= 0
+        return pa.RecordBatch.from_arrays([pa.array(of[starts][some]), pa.array(np.sqrt(most[some]))], names=["block", "d"])
+
+    def run(batches):
+        rank, points = np.empty(0, np.int64), np.empty((0, 3))
+        for batch in batches:
+            rank = np.concatenate([rank, batch.column("rank").to_numpy()])
+            points = np.concatenate([points, np.column_stack([batch.column(c).to_numpy() for c in ("x", "y", "z")])])
+            whole = np.searchsorted(rank, rank[-1] // block * block) if len(rank) else 0  # the last block may go on
+            yield widths(rank[:whole], points[:whole])
+            rank, points = rank[whole:], points[whole:]
+        yield widths(rank, points)
+
+    dealt = ordered.select("rank", "x", "y", "z").repartition(F.expr(f"rank div {block * 1024}")).sortWithinPartitions("rank")
+    return dealt.mapInArrow(run, "block long, d double")
 
 
 def l1_l2_locality(ordered: DataFrame, ceiling: float = float("inf"), gaps: int = 64) -> DataFrame:
