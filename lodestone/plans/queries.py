@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import curves
-from lodestone.functions.store import fresh_path, kept
+from lodestone.functions.store import cut, fresh_path, kept
 from lodestone.operators import layout, metrics, ordering, refine, robust, stats
 from lodestone.operators.ordering import OrderingConfig, keyed, order_cloud
 from lodestone.plans.clouds import (
@@ -558,7 +558,7 @@ def frozen_workflow(spark, sf):
     from lodestone.plans import workload
 
     cloud = lineitem_cloud(spark, sf)
-    windows = _asked(cloud)
+    windows = cut(_asked(cloud), "asked")  # read again and again
     path = fresh_path(spark, "frozen")
     workload.write_frozen(windows, workload.result_digests(layout.full_scan(cloud, windows), windows), path)
     done = workload.answered(stored_layout(cloud, sf), workload.read_frozen(spark, path))
