@@ -6,6 +6,7 @@ import inspect
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +82,6 @@ def over_arrays(run, schema: str, *columns: Column) -> Column:
 
     Only these columns go to Python; the rest of the row waits in the JVM.
     """
-    from collections.abc import Iterator
-
     import pyarrow as pa
     from pyspark.sql.functions import arrow_udf
 
@@ -91,6 +90,13 @@ def over_arrays(run, schema: str, *columns: Column) -> Column:
     return arrow_udf(run, schema)(*columns)
 
 
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Batches of so many rows at most: what a worker makes of a batch at once is bounded with it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def give_back() -> None:
     """Return to the system what a worker has freed: Arrow's pool and the C library keep it otherwise, and workers live on."""
     import ctypes

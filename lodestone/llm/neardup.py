@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, columns_of, cut, give_back, unique
+from lodestone.llm.common import WORD, columns_of, cut, give_back, slices, unique
 from lodestone.llm.components import connected_components
 
 #: Bands and rows of a signature; words in a shingle; least similarity in percent.
@@ -143,7 +143,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
         known, sketcher = _WordHashes(), Sketcher()
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             counts, names, found = [], [], []
             for text in batch.column("text"):
                 h = shingles(text.as_py(), words, known)
@@ -180,12 +180,14 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py(), words, known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(_name, sets), pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())],
                 names=["node", "set"],
             )
+            del batch, sets
+            give_back()
 
     return docs.select("text").mapInArrow(run, "node binary, set binary")
 
@@ -205,7 +207,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             linked, apart, shared = [], [], []
             for a, b in zip(batch.column("a"), batch.column("b")):
                 a = np.frombuffer(a.as_buffer(), np.uint64)
@@ -218,6 +220,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u"), batch.column("v"), *columns], names=["u", "v", "both", "apart", "linked"]
             )
+            del batch, columns
+            give_back()
 
     pairs = cut(pairs, "pairs")
     side = lambda k, s: sets.toDF(k, s).join(_few(pairs.select(k).distinct()), k, "left_semi")
