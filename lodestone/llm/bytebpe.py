@@ -27,7 +27,7 @@ from itertools import accumulate, chain, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, unique
+from lodestone.llm.common import CHUNK, ODD_SPACE, cut, let, over_arrays, slices, unique
 from lodestone.llm.wordpiece import read_ranks, split_chunk
 
 #: Pieces in the dictionary, and the longest of them in bytes: together they bound what is broadcast.
@@ -36,6 +36,8 @@ DICTIONARY, LONGEST = 1 << 20, 32
 COUNTED, REMEMBERED = 1 << 18, 1 << 17
 #: Characters of text cut up at once.
 AT_ONCE = 1 << 20
+#: Ids spelled and decoded at once.
+DIGESTED = 1 << 16
 #: Longer pieces are merged with a heap: the fold takes the square of a piece's length.
 HEAPED = 512
 
@@ -49,6 +51,28 @@ def chunks(text: str) -> list[str]:
     return parts if parts and parts[0] else parts[1:]
 
 
+def chunk_keys(text: str) -> list[str]:
+    """A key for each of the text's chunks, cheaper to cut than the chunk: it lacks the space that most begin with."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or ODD_SPACE.search(text):
+        return list(map(_key, chunks(text)))
+    keys = text.replace("\n", " \n").split(" ")
+    if not keys[0]:
+        return keys[1:]
+    keys[0] = "\0" + keys[0]
+    return keys
+
+
+def _key(chunk: str) -> str:
+    if chunk[0] == " " and chunk[1:2] not in ("\n", "\0"):
+        return chunk[1:]
+    return chunk if chunk[0] == "\n" else "\0" + chunk
+
+
+def chunk_of(key: str) -> str:
+    """The chunk that a key stands for: one with neither a line end nor a NUL before it lacks its space."""
+    return key if key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
+
+
 class RankMap:
     """The pairs of ids that merge, as a table and as a column expression.
 
@@ -180,7 +204,7 @@ def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                found.update(chunks(text.as_py() or ""))
+                found.update(chunk_keys(text.as_py() or ""))
                 if len(found) >= COUNTED:
                     yield counted(found)
                     found.clear()
@@ -195,7 +219,7 @@ def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
         for batch in batches:
             found: defaultdict = defaultdict(int)
             for chunk, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist()):
-                for piece in split_chunk(chunk, split):
+                for piece in split_chunk(chunk_of(chunk), split):
                     found[piece] += n
             yield counted(found)
 
@@ -293,7 +317,7 @@ def _look_up(shared, ranks, pattern: str):
 
         def learn(fresh: list[str]) -> dict[str, list]:
             """Adds the chunks to ``known``; of those with a piece to fold, gives the parts: packed ids, or the piece's bytes."""
-            parts = [split_chunk(c, split) for c in fresh]
+            parts = [split_chunk(chunk_of(c), split) for c in fresh]
             wanted = list(dict.fromkeys(chain.from_iterable(parts)))
             raw = list(map(str.encode, wanted))
             found = pieces.get(raw)
@@ -310,7 +334,7 @@ def _look_up(shared, ranks, pattern: str):
             return holed
 
         def rows_of(texts: list[str]) -> Iterator[tuple]:
-            cut_up = [chunks(t) for t in texts]
+            cut_up = [chunk_keys(t) for t in texts]
             if len(known) >= REMEMBERED:  # what has not been asked for since the last time goes
                 before.clear()
                 before.update(known)
@@ -388,32 +412,49 @@ def _put_in(found, places, which, folded) -> list[bytes]:
     return out
 
 
-def _slices(batches: Iterator, rows: int = 1024) -> Iterator:
-    """Batches of so many rows at most: what a worker makes of a batch at once is bounded with it."""
-    for batch in batches:
-        for k in range(0, len(batch), rows):
-            yield batch.slice(k, rows)
-
-
 #: Columns that digests adds.
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _digester(ranks: dict[bytes, int]):
-    """Packed ids to their number, the hash of the ids and the hash of what they decode to."""
+    """Packed ids of many texts to the number of each one's, the hash of the ids and the hash of what they decode to."""
     from hashlib import sha256
 
     import numpy as np
+    import pyarrow as pa
 
     size = max(ranks.values()) + 1
-    pieces, spelled = [b""] * size, [b"%d" % i for i in range(size)]
+    pieces = [b""] * size
     for piece, i in ranks.items():
         pieces[i] = piece
-
-    def digest(packed) -> tuple[int, str, str]:
-        ids = np.frombuffer(packed, "<u2").tolist()
-        decoded = b"".join(map(pieces.__getitem__, ids))
-        return len(ids), sha256(b" ".join(map(spelled.__getitem__, ids))).hexdigest(), sha256(decoded).hexdigest()
+    # ids as they stand after another, and the pieces that they decode to
+    sides = pa.array([b" %d" % i for i in range(size)], pa.binary()), pa.array(pieces, pa.binary())
+
+    def digest(texts: list) -> list[tuple[int, str, str]]:
+        ids = [np.frombuffer(t, "<u2") for t in texts]
+        hashes = [(sha256(), sha256()) for _ in ids]
+
+        def add(runs: list[tuple[int, int, int]]) -> None:
+            flat = pa.array(np.concatenate([ids[k][a:b] for k, a, b in runs]))
+            edges = np.cumsum([0, *(b - a for _, a, b in runs)])
+            for side, table in enumerate(sides):
+                taken = table.take(flat)
+                ends = np.frombuffer(taken.buffers()[1], np.int32)[edges].tolist()
+                data = memoryview(taken.buffers()[2])
+                for (k, a, _), x, y in zip(runs, ends, ends[1:]):
+                    hashes[k][side].update(data[x + (side == 0 and a == 0) : y])  # nothing stands before the first id
+
+        runs, held = [], 0
+        for k, x in enumerate(ids):
+            for a in range(0, len(x), DIGESTED):
+                runs.append((k, a, min(a + DIGESTED, len(x))))
+                held += runs[-1][2] - a
+                if held >= DIGESTED:
+                    add(runs)
+                    runs, held = [], 0
+        if runs:
+            add(runs)
+        return [(len(x), a.hexdigest(), b.hexdigest()) for x, (a, b) in zip(ids, hashes)]
 
     return digest
 
@@ -448,11 +489,11 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digester(shared_ranks.value) if with_digests else None
-        for batch in _slices(batches):
+        for batch in slices(batches):
             packed = _put_in(*map(batch.column, ("found", "places", "which", "folded")))
             columns = [pa.array(packed, pa.binary())]
             if digest:
-                columns += _digest_arrays([digest(p) for p in packed])
+                columns += _digest_arrays(digest(packed))
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], names=[*own, *added])
 
     kept = [F.col("`" + c.replace("`", "``") + "`").alias(k) for k, c in own.items()]
@@ -460,7 +501,7 @@ def encode(
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             columns = look_up(batch.column("whole_text"))
             yield pa.RecordBatch.from_arrays(
                 [*map(batch.column, own), *columns], names=[*own, "found", "places", "which", "rare"]
@@ -484,7 +525,7 @@ def digests(encoded: DataFrame, rank_file: str, *passed: str) -> DataFrame:
     def run(batches):
         digest = _digester(shared.value)
         for batch in batches:
-            rows = [digest(packed.as_buffer()) for packed in batch]
+            rows = digest([packed.as_buffer() for packed in batch])
             yield pa.StructArray.from_arrays(_digest_arrays(rows), names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept, found = ["doc_id", *passed], unique("digests")
