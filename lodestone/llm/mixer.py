@@ -43,7 +43,7 @@ LOOKS, BLOCKS = (1, 3, 6), 256
 #: Slots of a hashed table: one for so many training symbols, as a power of two between these.
 SYMBOLS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 22
 #: Bytes worked on at once; words counted before a worker hands on its counts.
-AT_ONCE, COUNTED = 100_000, 1 << 18
+AT_ONCE, COUNTED = 400_000, 1 << 18
 #: Words whose counts are broadcast, and the bytes they may have together.
 COMMON, COMMON_BYTES = 1 << 19, 1 << 24
 #: Decisions between two moves of the weights; step of a move; where weights start, by predictor.
