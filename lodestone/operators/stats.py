@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.ranking import rank_runs
+from lodestone.functions.ranking import rank_runs, with_row_number
 from lodestone.functions.store import cut
 from lodestone.operators import linalg
 
@@ -104,26 +104,79 @@ def drawn(seed: int, *names: Column | str) -> Column:
     return F.conv(F.substring(said, 1, 8), 16, 10).cast("long")
 
 
-def resampled(rows: DataFrame, strata: list[str], order: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
+#: Placed rows that are broadcast to the draws; more of them meet the draws by a shuffle.
+TABLED = 1 << 20
+
+
+def resampled(
+    rows: DataFrame, strata: list[str], order: str, value: str, draws: int = 2000, seed: int = 1, reach: int = 4
+) -> DataFrame:
     """(draw, mean, median) of ``draws`` resamples with replacement within strata, each as large as the rows.
 
     Draws are counter-based, so they are dealt over tasks and come out the same however they are dealt.
     """
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order)) - 1
-    size = F.count("*").over(Window.partitionBy(*strata))
-    rows = rows.select(*strata, place.alias("_i"), size.alias("_n"), F.col(value).alias("_v"))
-    asked = rows.select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    asked = asked.select("draw", *strata, (drawn(seed, "draw", *strata, "_i") % F.col("_n")).alias("_i"))
-    found = asked.join(rows.drop("_n"), [*strata, "_i"])
-    return found.groupBy("draw").agg(F.avg("_v").alias("mean"), F.percentile("_v", 0.5).alias("median"))
+    return _resamples(_placed(rows, strata, order, value), strata, draws, seed, reach)
+
+
+def _placed(rows: DataFrame, strata: list[str], order: str, value: str) -> DataFrame:
+    """The rows' strata and value ``_v``, with the place ``_p`` of the value among all (nulls last) and ``_g`` by stratum and order."""
+    some = cut(rows.select(*strata, F.col(order).alias("_order"), F.col(value).cast("double").alias("_v")), "resampled")
+    by_value = with_row_number(some, [F.col("_v").asc_nulls_last(), *strata, "_order"], "_p")
+    return with_row_number(by_value, [*strata, "_order"], "_g").drop("_order")
+
+
+def _resamples(placed: DataFrame, strata: list[str], draws: int, seed: int, reach: int) -> DataFrame:
+    """Resamples of placed rows.
+
+    A draw's median lies near the middle of all values: about ``reach`` times the root of their number to either side of it,
+    drawn places are counted one by one, farther ones by side only.  Draws whose median lies farther out are counted again
+    over a wider band, so a task holds few counts for a draw and each median is exact.
+    """
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, values = placed.agg(F.count("*"), F.count("_v")).first()
+    sizes = placed.groupBy(*strata).agg(F.min("_g").alias("_from"), F.count("*").alias("_n"))
+    within = placed.join(sizes, strata) if strata else placed.crossJoin(sizes)
+    within = within.select(*strata, (F.col("_g") - F.col("_from")).alias("_i"), "_n", "_p", "_v")
+    dealt = within.select(*strata, "_i", "_n").repartition(parts)
+    table = within.drop("_n") if n > TABLED else F.broadcast(within.drop("_n"))
+    numbers, wide, out = F.sequence(F.lit(0), F.lit(draws - 1)), reach * math.isqrt(values) + 1, []
+    while True:
+        low, high = values // 2 - wide, values // 2 + wide
+        asked = dealt.select(*strata, "_i", "_n", F.explode(numbers).alias("draw"))
+        asked = asked.select("draw", *strata, (drawn(seed, "draw", *strata, "_i") % F.col("_n")).alias("_i"))
+        side = F.greatest(F.least("_p", F.lit(high + 1)), F.lit(low - 1)).alias("_b")
+        counts = asked.join(table, [*strata, "_i"]).groupBy("draw", side).agg(
+            F.count("_v").alias("_c"), F.sum("_v").alias("_s"), F.max("_v").alias("_v")
+        )
+        out_of = lambda there: F.sum(F.when(there, F.col("_c")).otherwise(0))
+        farther = F.greatest(out_of(F.col("_b") < low), out_of(F.col("_b") > high))
+        got = cut(
+            counts.groupBy("draw").agg(
+                F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean"),
+                F.percentile("_v", 0.5, F.col("_c")).alias("median"),
+                ((farther * 2 < F.sum("_c")) | (F.sum("_c") == 0)).alias("_met"),
+            ),
+            "resamples",
+        )
+        out.append(got.filter("_met").drop("_met"))
+        left = [r["draw"] for r in got.filter("not _met").select("draw").collect()]
+        if not left:
+            return reduce(DataFrame.union, out)
+        numbers, wide = F.array(*(F.lit(k) for k in left)), wide * 8
 
 
 def resampled_interval(rows: DataFrame, strata: list[str], order: str, value: str, draws: int = 2000, seed: int = 1) -> DataFrame:
     """Mean and median of all rows with their percentile intervals over stratified resamples: one row."""
-    got = resampled(rows, strata, order, value, draws, seed)
+    placed = _placed(rows, strata, order, value)
+    got = _resamples(placed, strata, draws, seed, 4)
     at = lambda c, share: F.get(F.array_sort(F.collect_list(c)), F.lit(min(draws - 1, int(share * draws))))
     ends = got.agg(*(at(c, share).alias(f"{c}_{k}") for c in ("mean", "median") for k, share in (("low", 0.025), ("high", 0.975))))
-    whole = rows.agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.count(value).alias("n"))
+    values = placed.agg(F.count("_v")).first()[0]
+    # the median of all is the mean of the values at the middle places, one or two
+    lo, hi = (F.max(F.when(F.col("_p") == k, F.col("_v"))) for k in ((values - 1) // 2, values // 2))
+    whole = placed.agg(
+        F.avg("_v").alias("mean"), F.when(lo == hi, lo).otherwise(lo / 2 + hi / 2).alias("median"), F.count("*").alias("n")
+    )
     return whole.join(F.broadcast(ends))  # one row each
 
 

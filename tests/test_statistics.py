@@ -61,3 +61,47 @@ def test_resamples_do_not_depend_on_how_rows_are_dealt(spark):
     assert [[round(v, 9) for v in x] for x in a] == [[round(v, 9) for v in x] for x in b]
     low = stats.resampled_interval(df, ["stratum"], "at", "v", 40, 5).first()
     assert low["mean_low"] <= low["mean"] <= low["mean_high"] and low["n"] == 30
+
+
+def _plain(rows, draws, seed):
+    """Mean and median of each resample, one draw after the other."""
+    import hashlib
+    import statistics
+
+    strata = {}
+    for s, at, v in sorted(rows):
+        strata.setdefault(s, []).append(v)
+    out = {}
+    for b in range(draws):
+        said = lambda s, i: int(hashlib.md5(f"{seed}:{b}:{s}:{i}".encode()).hexdigest()[:8], 16)
+        drawn = [vs[said(s, i) % len(vs)] for s, vs in strata.items() for i in range(len(vs))]
+        some = [v for v in drawn if v is not None]
+        out[b] = (sum(some) / len(some), statistics.median(some)) if some else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("reach, tabled", [(4, 1 << 20), (0, 1 << 20), (4, 10)])
+def test_resamples_are_those_of_plain_draws(spark, monkeypatch, reach, tabled):
+    """Also where medians lie outside the first band, values are missing or tie, and rows meet draws by a shuffle."""
+    from lodestone.operators import stats
+
+    monkeypatch.setattr(stats, "TABLED", tabled)
+    rows = [(k % 3, k, None if k % 11 == 0 else float(k * k % 17) - 8) for k in range(200)]
+    df = spark.createDataFrame(rows, "stratum int, at int, v double")
+    got = {r["draw"]: (r["mean"], r["median"]) for r in stats.resampled(df, ["stratum"], "at", "v", 30, 5, reach).collect()}
+    expected = _plain(rows, 30, 5)
+    assert got.keys() == expected.keys()
+    for b, (mean, median) in expected.items():
+        assert got[b] == (pytest.approx(mean), median)
+
+
+def test_an_interval_counts_rows_without_a_value(spark):
+    from lodestone.operators import stats
+
+    df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), ("b", 2, 3.0), ("b", 3, 5.0)], "stratum string, at int, v double")
+    got = stats.resampled_interval(df, ["stratum"], "at", "v", 40, 5).first()
+    assert (got["n"], got["median"]) == (4, 3.0) and got["mean"] == pytest.approx(10 / 3)
+    ends = sorted(m for m, _ in _plain([("a", 0, None), ("a", 1, 2.0), ("b", 2, 3.0), ("b", 3, 5.0)], 40, 5).values())
+    assert (got["mean_low"], got["mean_high"]) == (pytest.approx(ends[1]), pytest.approx(ends[39]))
+    empty = stats.resampled_interval(df.filter("false"), ["stratum"], "at", "v", 40, 5).first()
+    assert empty["n"] == 0 and empty["median"] is None and empty["mean_low"] is None
